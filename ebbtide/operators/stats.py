@@ -238,6 +238,7 @@ def spearman(rows: DataFrame, row_id: Sequence[str], cols: Sequence[str], pairwi
         return weighted_corr(full, "rx", "ry", "w", ["a", "b"]).withColumnRenamed("corr", "rho")
     items = [F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("value")) for c in cols]
     long = rows.select(*row_id, F.explode(F.array(*items)).alias("s")).select(*row_id, "s.col", "s.value")
+    long = materialize(long)   # the ranks are joined back by value, so both sides must see the same doubles
     ranks = average_ranks(long, "value", ["col"]).select("col", "value", "rank")
     wide = (long.withColumn("value", F.col("value") + F.lit(0.0)).join(ranks, ["col", "value"]).groupBy(*row_id)
             .agg(*[F.max(F.when(F.col("col") == c, F.col("rank"))).alias(c) for c in cols]))

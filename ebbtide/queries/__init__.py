@@ -1,6 +1,6 @@
 """Every registered query; importing the package fills the registry."""
 
-from . import panel_q  # noqa: F401
+from . import metrics_q, panel_q, stats_q  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
