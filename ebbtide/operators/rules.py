@@ -87,7 +87,7 @@ def evidence_list(values: DataFrame, signals: Sequence[Signal], thresholds: Sequ
     items = []
     for t in thresholds:
         s, x = by[t.signal], F.col(t.column)
-        body = F.translate(F.format_string("%.1f", F.abs(x)), ".", ",")
+        body = F.translate(F.format_number(F.abs(x), 1), ".,", ",")
         if t.form == "change":
             sign = F.when(x < 0, "−").otherwise("+")
             shown = F.concat(F.lit(f"{s.label}: "), sign, body, F.lit(f" {s.unit} vs média anterior"))
