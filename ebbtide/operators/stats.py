@@ -12,7 +12,7 @@ import tempfile
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,11 +30,21 @@ def value_bucket(x: Column) -> Column:
     return F.when(x == 0, F.lit(0).cast("bigint")).when(x > 0, b).otherwise(-b)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor reaches: ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="ebbtide-checkpoint-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder named by the session."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ebbtide-checkpoint-"))
+    folder = shared_folder(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
 
 
