@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import relative_quarter
-from .stats import auc, quantiles, spearman
+from .stats import auc, keep, quantiles, spearman
 
 
 def aligned(rows: DataFrame, clients: DataFrame, ref_m: int | Column, client: str = "client", m: str = "m") -> DataFrame:
@@ -49,14 +49,14 @@ def compare_before_exit(series: DataFrame, clients: DataFrame, ref_m: int | Colu
                         window: int = 3, client: str = "client", m: str = "m") -> tuple[DataFrame, DataFrame]:
     """(points, summary). Points: quartiles and n per series, rel and group. Summary: AUC at -1 and lead, most
     separated series first."""
-    d = moving_before_exit(series, clients, ref_m, months, window, client, m)
+    d = keep(moving_before_exit(series, clients, ref_m, months, window, client, m))   # read by quantiles and AUC
     q = quantiles(d, "x", [0.25, 0.5, 0.75], ["p25", "med", "p75"], ["series", "rel", "cancelled"])
 
     def side(flag: bool, p: str) -> list[Column]:
         pick = F.col("cancelled") if flag else ~F.col("cancelled")
         return [F.max(F.when(pick, F.col(c))).alias(f"{p}_{c}") for c in ("med", "p25", "p75", "n")]
 
-    points = q.groupBy("series", "rel").agg(*side(True, "c"), *side(False, "a"))
+    points = keep(q.groupBy("series", "rel").agg(*side(True, "c"), *side(False, "a")))   # series x months rows
     both = points.groupBy("series").agg((F.count("c_med") > 0).alias("__c"), (F.count("a_med") > 0).alias("__a"))
     both = both.filter(F.col("__c") & F.col("__a")).select("series")
     points = points.join(both, "series", "left_semi")

@@ -137,7 +137,7 @@ def youden(df: DataFrame, label: Column | str, value: Column | str, direction: C
     src = df.withColumn("__s", (F.col(value) if isinstance(value, str) else value).cast("double") * d) \
             .withColumn("__d", d)
     key = [*by, "__d"]
-    counts = value_counts(src, "__s", key, n=F.lit(1).cast("bigint"), **_classes(label))
+    counts = keep(value_counts(src, "__s", key, n=F.lit(1).cast("bigint"), **_classes(label)))   # read four times below
     run = running_totals(counts, key, ["n", "n1", "n0"])
     distinct = F.count(F.lit(1)).over(W.partitionBy(*key))
     run = run.withColumn("__many", distinct > max_cuts)

@@ -178,3 +178,63 @@ def train_queue(spark, sf):
     m = Mapping("clientes", "c_custkey", "situacao", "situacao", "Cancelado", "mes_saida", "clientes", "c_acctbal")
     r = train(tables, m, replace(CFG, validate=False, rounds=4, min_hist=2))
     return r.queue.select("client", "priority", "risk", "band", "action", "dominant")
+
+
+# ---------------------------------------------------------------- reports over candidate tables
+CAND_SQL = """cand AS (SELECT CAST(p_partkey AS VARCHAR) AS feature, CASE WHEN p_size % 7 <> 0 THEN (p_size % 11)/10.0::DOUBLE END AS frequency, p_retailprice/10000 AS auc_oof, p_partkey % 5 = 0 AS selected,
+   CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 4 = 0 THEN 'selecionada em só 30% das dobras' WHEN p_partkey % 4 = 1 THEN 'fora do limite de 9 variáveis' WHEN p_partkey % 4 = 2 THEN 'escolhida em só 10% das rodadas' ELSE 'redundante' END AS reason,
+   CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE -1 END AS direction FROM part)"""
+
+
+def candidate_rows(spark, sf):
+    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    m = F.pmod(k, F.lit(4))
+    reason = (F.when(F.pmod(k, F.lit(5)) == 0, None).when(m == 0, "selecionada em só 30% das dobras").when(m == 1, "fora do limite de 9 variáveis")
+              .when(m == 2, "escolhida em só 10% das rodadas").otherwise("redundante"))
+    return p.select(k.cast("string").alias("feature"), F.when(F.pmod("p_size", F.lit(7)) != 0, F.pmod("p_size", F.lit(11)) / 10.0).alias("frequency"),
+                    (F.col("p_retailprice") / 10000).alias("auc_oof"), (F.pmod(k, F.lit(5)) == 0).alias("selected"), reason.alias("reason"),
+                    F.when(F.pmod(k, F.lit(2)) == 0, 1).otherwise(-1).alias("direction"))
+
+
+@query("explore_selection_buckets", f"""WITH {CAND_SQL} SELECT feature, CASE WHEN selected THEN 'Selecionada' WHEN reason LIKE 'selecionada em só%' THEN 'Instável entre dobras' WHEN reason LIKE 'fora do limite%' THEN 'Fora do limite de variáveis'
+   WHEN reason LIKE 'escolhida%' THEN 'Abaixo de 60% das rodadas' ELSE 'Outro motivo' END AS bucket FROM (SELECT * FROM cand WHERE frequency IS NOT NULL ORDER BY frequency DESC, auc_oof DESC, feature LIMIT 28)""")
+def buckets(spark, sf):
+    from ..operators.explore import selection_buckets
+    return selection_buckets(candidate_rows(spark, sf)).select("feature", "bucket")
+
+
+@query("report_feature_report", f"""WITH {CAND_SQL} SELECT feature, p_size::DOUBLE AS weight, coalesce(p_size, 0) IS NOT NULL AND p_partkey IS NOT NULL AS selected, CASE WHEN p_partkey IS NULL THEN coalesce(reason, 'retirada') END AS reason,
+   CASE WHEN direction > 0 THEN 'maior = mais risco' ELSE 'menor = mais risco' END AS direction_text FROM cand LEFT JOIN (SELECT p_partkey, p_size FROM part WHERE p_brand = 'Brand#2') ON CAST(p_partkey AS VARCHAR) = feature""")
+def feature_report(spark, sf):
+    from ..operators.reports import feature_report as build
+    w = table(spark, sf, "part").filter("p_brand = 'Brand#2'").select(F.col("p_partkey").cast("string").alias("feature"), F.col("p_size").cast("double").alias("weight"))
+    return build(candidate_rows(spark, sf).drop("selected"), w).select("feature", "weight", "selected", "reason", "direction_text")
+
+
+@query("selection_leak_flags", """SELECT 'fixed' AS feature, true AS leak UNION ALL SELECT 'last_day', true UNION ALL SELECT 'n__level', false""")
+def leak_flags(spark, sf):
+    """A client column filled only for leavers and a flag that shows on the last day before the exit."""
+    d = st.materialize(e_features(spark, sf).withColumn("fixed", F.col("cancelled").cast("double") * (1 + F.pmod("client", F.lit(5))))
+                       .withColumn("last_day", F.when(F.col("cancelled") & (F.col("k") == 1), 1.0).otherwise(0.0)))
+    meta = {k: v for k, v in feature_meta().items() if k == "n__level"}
+    meta["fixed"] = ft.Feature("fixed", "fixed", "t", "fixed", "static", "fixed", temporal=False)
+    meta["last_day"] = ft.Feature("last_day", "last_day", "t", "last_day", "level", "last_day")
+    report = {c: {"feature": c, "reason": None, "leak": False} for c in meta}
+    se._evaluate(d.filter("train"), list(meta), meta, replace(CFG, leak_auc=0.98), 3, report)
+    return spark.createDataFrame([(c, bool(r["leak"])) for c, r in report.items()], "feature string, leak boolean")
+
+
+@query("validation_nested_oof")
+def nested(spark, sf):
+    from ..operators.validation import nested_oof
+    d, meta = two_features(spark, sf)
+    v = nested_oof(d, meta, replace(CFG, folds=2, rounds=3, sparse_cs=(0.1,), ridge_cs=(0.1,), n_persistence=1), 3, ["logistic"])
+    return v.oof.join(v.baseline, ["client", "m"], "left").select("model", "client", "m", "fold", "p", "base_score", "base_alarm")
+
+
+@query("model_two_stage")
+def two_stage(spark, sf):
+    d, meta = two_features(spark, sf)
+    cfg = replace(CFG, delta_feature=True, delta_folds=2, rounds=3, sparse_cs=(0.1,), ridge_cs=(0.1,), n_persistence=0)
+    model, wide, _ = mo.fit_two_stage("logistic", d, meta, cfg, 3)
+    return model.score(model.prepare(wide).filter("scorable")).select("client", "m", "p", "risco_previsto__delta")

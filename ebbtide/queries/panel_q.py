@@ -424,3 +424,18 @@ def risk_delta(spark, sf):
 def placebo(spark, sf):
     d = ft.risk_delta_features(e_scored(spark, sf)).select("client", "m", "risco_previsto__delta")
     return ft.placebo(d, "risco_previsto__delta", seed=7).select("client", "m", *r6("risco_previsto__delta"))
+
+
+@query("panel_attach_temporal", """SELECT user_id AS client, count(*) AS n FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY 1""")
+def attach_temporal(spark, sf):
+    ids = table(spark, sf, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("client"))
+    return pn.attach_temporal(ids, e_rows(spark, sf).unionByName(
+        table(spark, sf, "events").select(F.col("user_id").alias("client"), "ts", "event_type", "value", "event_id").filter(col.day_index(F.col("ts")) > E_REF)
+        .withColumn("m", col.day_index(F.col("ts"))))).groupBy("client").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("panel_usable_columns", """SELECT 'c_mktsegment' AS col, 'category' AS type UNION ALL SELECT 'c_acctbal', 'numeric' UNION ALL SELECT 'c_nationkey', 'numeric'""")
+def usable(spark, sf):
+    from ..operators.schema import infer_structure
+    st_ = infer_structure({"customer": table(spark, sf, "customer")}, "customer", "c_custkey")
+    return spark.createDataFrame(list(pn.usable_columns(st_.tables["customer"].types, ["c_custkey"]).items()), "col string, type string")

@@ -20,7 +20,7 @@ def planted(seed=5, clients=60, leavers=15, months=18, date_style="iso", target_
     cli = pd.DataFrame({n["id"]: ids, "regiao": rng.choice(["norte", "sul", "leste"], clients), "mrr": rng.uniform(100, 900, clients).round(2),
                         "inicio": [month(0, "%d/%m/%Y")] * clients})
     if leak == "static":
-        cli["codigo_baixa"] = [float(rng.integers(1, 9)) if c in exits else 0.0 for c in ids]
+        cli["codigo_baixa"] = [float(1 + int(c[1:]) % 8) if c in exits else 0.0 for c in ids]
     sit = pd.DataFrame({n["id"]: ids, "churn": [int(c in exits) for c in ids], "data_saida": [day(exits[c]) if c in exits else None for c in ids]})
     use, fin, cal = [], [], []
     for c in ids:
@@ -32,7 +32,7 @@ def planted(seed=5, clients=60, leavers=15, months=18, date_style="iso", target_
             row = {n["id"]: c, "mes": month(t) if date_style == "iso" else month(t, "%m/%Y"), n["use"]: level - drop + rng.normal(0, 6),
                    "ruido_a": rng.normal(), "ruido_b": rng.normal()}
             if leak == "last_month":
-                row["aviso"] = float(left == 1 or rng.random() < 0.02)
+                row["aviso"] = float(left == 1)
             use.append(row)
             fin.append({"cliente": c, "data": month(t, "%d/%m/%Y"), "desconto": rng.uniform(0, 1), "atraso": int(rng.integers(0, 9))})
         for _ in range(int(rng.integers(1, 5))):
