@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -14,10 +15,18 @@ from ..functions.columns import period_index, text
 def valid_sales(sales: DataFrame, client: str, stamp: str, ref: int, voided: Column | None = None,
                 grain: str = "month") -> DataFrame:
     """Rows of a known client, not voided, in a complete period (``m <= ref``); adds ``m``."""
-    ok = F.col(client).isNotNull()
+    # the bound is on the stored column, so it reaches the scan
+    ok = F.col(client).isNotNull() & (F.col(stamp) < F.lit(period_start(ref + 1, grain)))
     if voided is not None:
         ok = ok & ~F.coalesce(voided, F.lit(False))
-    return sales.filter(ok).withColumn("m", period_index(F.col(stamp), grain)).filter(F.col("m") <= ref)
+    return sales.filter(ok).withColumn("m", period_index(F.col(stamp), grain))
+
+
+def period_start(m: int, grain: str) -> datetime:
+    """First instant of a period, as a literal for filters on date or timestamp columns."""
+    if grain == "month":
+        return datetime(m // 12, m % 12 + 1, 1)
+    return datetime(1970, 1, 1) + timedelta(days=m)
 
 
 def complete_sources(rows: DataFrame, source: str, expected_end: int, m: str = "m") -> DataFrame:

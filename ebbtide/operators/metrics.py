@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import log_loss_term
-from .stats import auc, global_rank, quantiles
+from .stats import auc, global_rank, keep, quantiles
 
 KS = (1, 2, 3)
 CUTS = tuple(round(0.01 * i, 2) for i in range(1, 96))
@@ -89,8 +89,9 @@ def threshold_curve(panel: DataFrame, p: str = "p", cuts: Sequence[float] = CUTS
               item("ever", ~F.col("cancelled") & (F.col("__rn") == 1), "__top"),
               item("tp", t & (F.col("y") == 1)), item("fp", t & (F.col("y") == 0)),
               item(F.concat(F.lit("lead_"), F.col("k").cast("string")), F.col("cancelled") & (F.col("__run") > 0), "__run")]
-    counts = (d.select(F.explode(F.array_compact(F.array(*items))).alias("s")).select("s.*")
-              .groupBy("metric", "i").agg(F.count(F.lit(1)).alias("n")))
+    # (metrics + months) x cuts rows, read several times below
+    counts = keep(d.select(F.explode(F.array_compact(F.array(*items))).alias("s")).select("s.*")
+                  .groupBy("metric", "i").agg(F.count(F.lit(1)).alias("n")))
     grid = spark.range(1, len(cuts) + 1).select(
         F.col("id").cast("int").alias("j"), F.element_at(F.array(*[F.lit(float(c)) for c in cuts]), F.col("id").cast("int")).alias("cut"))
     reached = counts.filter("i > 0").select("metric", "n", F.explode(F.sequence(F.lit(1), F.col("i"))).alias("j"))

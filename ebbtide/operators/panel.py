@@ -184,6 +184,27 @@ def client_month_grid(clients: DataFrame, observed: DataFrame, ref_m: int | Colu
                     *[F.when(has, F.col(e)).alias(e) for e in extra])
 
 
+def activity_grid(active: DataFrame, ref: int, gap: int = 1, client: str = "client", m: str = "m") -> DataFrame:
+    """Label by gap, exit cut and month grid of one activity table in a single pass over one partitioning.
+
+    Same rows as ``label_by_gap`` + ``cut_at_exit`` + ``client_month_grid``, for bases whose clients are the
+    clients of the activity itself: the exit is a window minimum, so no table is joined and none is read twice.
+    """
+    extra = [c for c in active.columns if c not in (client, m)]
+    w = W.partitionBy(client).orderBy(m)
+    d = active.filter(F.col(m) <= ref).withColumn("__next", F.coalesce(F.lead(m).over(w), F.lit(ref + 1)))
+    d = d.withColumn("__rn", F.row_number().over(w)).withColumn(
+        "exit_m", F.min(F.when(F.col("__next") - F.col(m) > gap, F.col(m) + 1)).over(W.partitionBy(client)).cast("int"))
+    d = d.filter(F.col("exit_m").isNull() | (F.col(m) < F.col("exit_m"))).withColumnRenamed(m, "__m")
+    last = F.least(F.col("__next") - 1, F.coalesce(F.col("exit_m") - 1, F.lit(ref)))
+    d = d.withColumn("m", F.explode(F.sequence(F.col("__m"), last)))
+    has = F.col("m") == F.col("__m")
+    return d.select(client, F.col("m").cast("int"), F.col("exit_m").isNotNull().alias("cancelled"), "exit_m",
+                    (F.coalesce("exit_m", F.lit(ref + 1)) - F.col("m")).cast("int").alias("k"), has.alias("has_data"),
+                    F.col("__rn").cast("int").alias("n_hist"), (F.col("m") == ref).alias("__at_ref"),
+                    *[F.when(has, F.col(e)).alias(e) for e in extra])
+
+
 def label_panel(grid: DataFrame, horizon: int, min_hist: int, end_m: int | Column) -> DataFrame:
     """Label, training flag (history and known outcome), reference and scorable flags."""
     end = F.lit(end_m) if isinstance(end_m, int) else end_m

@@ -64,7 +64,8 @@ def value_counts(df: DataFrame, value: Column | str, by: Sequence[str] = (), **s
 def running_totals(counts: DataFrame, by: Sequence[str], sums: Sequence[str]) -> DataFrame:
     """Add ``<c>_before`` (sum over smaller values of the group), ``<c>_total`` and ``next_value``."""
     by = list(by)
-    d = counts.withColumn("__b", value_bucket(F.col("value")))
+    # the same null filter on both sides of the join below lets the two branches share one shuffle
+    d = counts.withColumn("__b", value_bucket(F.col("value"))).filter(F.col("__b").isNotNull())
     groups = by if by else [F.lit(1)]
     across = W.partitionBy(*groups).orderBy("__b")
     earlier = across.rowsBetween(W.unboundedPreceding, -1)

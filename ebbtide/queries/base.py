@@ -37,11 +37,7 @@ def o_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def o_panel(spark: SparkSession, sf: str) -> DataFrame:
-    act = o_activity(spark, sf)
-    clients = lb.label_by_gap(act, O_REF, O_GAP)
-    seen = pn.cut_at_exit(act, clients)
-    grid = pn.client_month_grid(clients, seen, O_REF)
-    return pn.label_panel(grid, HORIZON, MIN_HIST, O_REF)
+    return pn.label_panel(pn.activity_grid(o_activity(spark, sf), O_REF, O_GAP), HORIZON, MIN_HIST, O_REF)
 
 
 O_SQL = f"""
@@ -82,10 +78,7 @@ def e_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def e_panel(spark: SparkSession, sf: str) -> DataFrame:
-    act = e_activity(spark, sf)
-    clients = lb.label_by_gap(act, E_REF, E_GAP)
-    grid = pn.client_month_grid(clients, pn.cut_at_exit(act, clients), E_REF)
-    return pn.label_panel(grid, HORIZON, MIN_HIST, E_REF)
+    return pn.label_panel(pn.activity_grid(e_activity(spark, sf), E_REF, E_GAP), HORIZON, MIN_HIST, E_REF)
 
 
 def e_features(spark: SparkSession, sf: str) -> DataFrame:

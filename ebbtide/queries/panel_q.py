@@ -439,3 +439,12 @@ def usable(spark, sf):
     from ..operators.schema import infer_structure
     st_ = infer_structure({"customer": table(spark, sf, "customer")}, "customer", "c_custkey")
     return spark.createDataFrame(list(pn.usable_columns(st_.tables["customer"].types, ["c_custkey"]).items()), "col string, type string")
+
+
+@query("panel_orders_joined", f"WITH {O_SQL} SELECT {PANEL_COLS} FROM o_pan")
+def panel_orders_joined(spark, sf):
+    """The general path: labels, exit cut and grid as separate steps (bases whose client table is its own)."""
+    act = o_activity(spark, sf)
+    clients = lb.label_by_gap(act, O_REF, O_GAP)
+    grid = pn.client_month_grid(clients, pn.cut_at_exit(act, clients), O_REF)
+    return pn.label_panel(grid, 3, 4, O_REF).select(*PANEL_COLS.split(", "))
