@@ -176,7 +176,7 @@ def train_queue(spark, sf):
                          F.when(gone, F.date_format(F.add_months("last", 1), "yyyy-MM")).alias("mes_saida"))
     tables = {"clientes": table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), "situacao": status, "pedidos": o, "uso": t["uso"].drop("ts")}
     m = Mapping("clientes", "c_custkey", "situacao", "situacao", "Cancelado", "mes_saida", "clientes", "c_acctbal")
-    r = train(tables, m, replace(CFG, validate=False, rounds=4, min_hist=2))
+    r = train(tables, m, replace(CFG, validate=False, rounds=2, inner_folds=2, min_hist=2, n_persistence=1))
     return r.queue.select("client", "priority", "risk", "band", "action", "dominant")
 
 
@@ -228,13 +228,13 @@ def leak_flags(spark, sf):
 def nested(spark, sf):
     from ..operators.validation import nested_oof
     d, meta = two_features(spark, sf)
-    v = nested_oof(d, meta, replace(CFG, folds=2, rounds=3, sparse_cs=(0.1,), ridge_cs=(0.1,), n_persistence=1), 3, ["logistic"])
+    v = nested_oof(d, meta, replace(CFG, folds=2, rounds=2, inner_folds=2, sparse_cs=(0.1,), ridge_cs=(0.1,), n_persistence=0), 3, ["logistic"])
     return v.oof.join(v.baseline, ["client", "m"], "left").select("model", "client", "m", "fold", "p", "base_score", "base_alarm")
 
 
 @query("model_two_stage")
 def two_stage(spark, sf):
     d, meta = two_features(spark, sf)
-    cfg = replace(CFG, delta_feature=True, delta_folds=2, rounds=3, sparse_cs=(0.1,), ridge_cs=(0.1,), n_persistence=0)
+    cfg = replace(CFG, delta_feature=True, delta_folds=2, rounds=2, inner_folds=2, sparse_cs=(0.1,), ridge_cs=(0.1,), n_persistence=0)
     model, wide, _ = mo.fit_two_stage("logistic", d, meta, cfg, 3)
     return model.score(model.prepare(wide).filter("scorable")).select("client", "m", "p", "risco_previsto__delta")
