@@ -139,9 +139,8 @@ def youden(df: DataFrame, label: Column | str, value: Column | str, direction: C
             .withColumn("__d", d)
     key = [*by, "__d"]
     counts = keep(value_counts(src, "__s", key, n=F.lit(1).cast("bigint"), **_classes(label)))   # read four times below
-    run = running_totals(counts, key, ["n", "n1", "n0"])
-    distinct = F.count(F.lit(1)).over(W.partitionBy(*key))
-    run = run.withColumn("__many", distinct > max_cuts)
+    run = running_totals(counts.withColumn("one", F.lit(1)), key, ["n", "n1", "n0", "one"])
+    run = run.withColumn("__many", F.col("one_total") > max_cuts)
     n, lo, top = F.col("n_total") - 1, F.col("n_before"), F.col("n_before") + F.col("n") - 1
     first = F.when(n > 0, F.ceil(lo * max_cuts / F.nullif(n, F.lit(0)))).otherwise(0)
     past = F.when(n > 0, F.least(F.ceil((top + 1) * max_cuts / F.nullif(n, F.lit(0))) - 1, F.lit(max_cuts))) \
