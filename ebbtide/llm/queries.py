@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from ebbtide.llm import chat, sharding
+from ebbtide.llm import chat, quality_rules, sharding, token_counts
 
 QUERIES = {
     "op3_prefix_target": chat.op3_prefix_target,
+    "op4_boosted_rules": quality_rules.op4_boosted_rules,
+    "op5_token_counts": token_counts.op5_token_counts,
     "op10_rendezvous_sharding": sharding.op10_rendezvous_sharding,
 }
 ORACLES = {
