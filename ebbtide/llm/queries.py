@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ebbtide.llm import chat, quality_rules, sharding, token_counts
+from ebbtide.llm import chat, quality_rules, sharding, simhash, token_counts
 
 QUERIES = {
     "op3_prefix_target": chat.op3_prefix_target,
     "op4_boosted_rules": quality_rules.op4_boosted_rules,
     "op5_token_counts": token_counts.op5_token_counts,
+    "op6_covering_simhash": simhash.op6_covering_simhash,
     "op10_rendezvous_sharding": sharding.op10_rendezvous_sharding,
 }
 ORACLES = {
