@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ebbtide.llm import chat, quality_rules, sharding, simhash, token_counts
+from ebbtide.llm import chat, lm_scoring, quality_rules, sharding, simhash, token_counts
 
 QUERIES = {
+    "op1_log_bilinear": lm_scoring.op1_log_bilinear,
     "op3_prefix_target": chat.op3_prefix_target,
     "op4_boosted_rules": quality_rules.op4_boosted_rules,
     "op5_token_counts": token_counts.op5_token_counts,
