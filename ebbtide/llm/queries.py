@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ebbtide.llm import chat, lm_scoring, quality_rules, sharding, simhash, token_counts
+from ebbtide.llm import chat, chunked_bpe, lm_scoring, quality_rules, sharding, simhash, token_counts
 
 QUERIES = {
     "op1_log_bilinear": lm_scoring.op1_log_bilinear,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_boosted_rules": quality_rules.op4_boosted_rules,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_covering_simhash": simhash.op6_covering_simhash,
+    "op7_chunk_reuse": chunked_bpe.op7_chunk_reuse,
     "op10_rendezvous_sharding": sharding.op10_rendezvous_sharding,
 }
 ORACLES = {
