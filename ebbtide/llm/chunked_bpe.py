@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbtide.llm import textstats as ts
-from ebbtide.llm.common import documents, slices, text_of
+from ebbtide.llm.common import documents, ship, slices, text_of
 
 BATCH_BYTES = 4 << 20
 WINDOW, MASK = 16, (1 << 10) - 1     # cuts about every 1024 bytes
@@ -202,6 +202,7 @@ def encode(docs: DataFrame, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
                 at = upto
 
     kind = docs.schema["doc_id"].dataType.simpleString()
+    ship(docs.sparkSession)
     return routed(docs).select("doc_id", "packed", "n_bytes", "ends").mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")
 
 

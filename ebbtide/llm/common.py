@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +25,19 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package's source to the Python workers, once in a session: they need it to run the operators' functions."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if getattr(context, "_ebbtide_shipped", False):
+        return
+    packed = Path(tempfile.mkdtemp(prefix="ebbtide-")) / "ebbtide.zip"
+    with zipfile.ZipFile(packed, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(str(packed))
+    context._ebbtide_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``. A session in one process that names none gets a temporary one; a cluster must name it."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbtide.llm import textstats as ts
-from ebbtide.llm.common import documents, saved, slices, text_of
+from ebbtide.llm.common import documents, saved, ship, slices, text_of
 
 BATCH_BYTES = 8 << 20
 HEAD, CLASSES = 960, 63            # symbols: HEAD words, the end, CLASSES classes
@@ -323,6 +323,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     Null text: empty, the end alone. Null doc_id: in the training part, its row stays. Repeated rows stay. Without training documents all
     words are unknown. An empty table gives no rows; other columns are not read. Words outside the sent table get their counts by a join.
     """
+    ship(docs.sparkSession)
     training = docs.where(~held_out())
     counts = saved(word_counts(training), "lm-counts")
     vocab = vocabulary(counts, training.count())

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbtide.llm import textstats as ts
-from ebbtide.llm.common import documents, saved, slices, text_of
+from ebbtide.llm.common import documents, saved, ship, slices, text_of
 
 BATCH_BYTES = 4 << 20
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks"]
@@ -150,6 +150,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null text: empty (no words, fails the base rule). Null and repeated doc_ids keep their rows; an empty table gives no rows; without
     labels of both kinds the base rule alone decides. Other columns are not read. The statistics are written once to shared storage.
     """
+    ship(docs.sparkSession)
     counted = saved(statistics(docs), "statistics")
     return verdicts(counted, train(counted, labels))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ebbtide.llm import chat, chunked_bpe, lm_scoring, pii, quality_rules, sharding, simhash, token_counts
+from ebbtide.llm import chat, chunked_bpe, classifier, lm_scoring, pii, quality_rules, sharding, simhash, token_counts
 
 QUERIES = {
     "op1_log_bilinear": lm_scoring.op1_log_bilinear,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_covering_simhash": simhash.op6_covering_simhash,
     "op7_chunk_reuse": chunked_bpe.op7_chunk_reuse,
+    "op8_weak_label_classifier": classifier.op8_weak_label_classifier,
     "op9_feistel_pseudonyms": pii.op9_feistel_pseudonyms,
     "op10_rendezvous_sharding": sharding.op10_rendezvous_sharding,
 }

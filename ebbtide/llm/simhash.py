@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbtide.llm import textstats as ts
-from ebbtide.llm.common import documents, saved, slices, text_of
+from ebbtide.llm.common import documents, saved, ship, slices, text_of
 from ebbtide.llm.components import components
 
 BATCH_BYTES = 2 << 20
@@ -151,6 +151,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFram
     nothing else is linked). Repeated rows stay. An empty table gives no rows; other columns are not read. Equal fingerprints are one
     node of the graph, so a large group of copies costs one row in the search.
     """
+    ship(docs.sparkSession)
     prints = saved(with_fingerprint(docs, size), "fingerprints")
     first = prints.groupBy("_fp").agg(F.min("doc_id").alias("first"))
     rooted = saved(groups(prints, radius).join(first, "_fp"), "simhash-groups")

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from ebbtide.llm.common import documents, slices, text_of
+from ebbtide.llm.common import documents, ship, slices, text_of
 from ebbtide.llm.textstats import coded
 
 BATCH_BYTES = 4 << 20
@@ -105,6 +105,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pc.cast(pc.binary_length(texts), pa.int64()), pa.array(n), pa.array(n > limit)],
                                                  ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
+    ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
