@@ -74,3 +74,9 @@ def test_documents(spark):
     rows = pii.pseudonymise(df, KEY).collect()
     assert len(rows) == 3 and rows[0]["text"] == rows[1]["text"] != "a@b.co" and "10.0.0.1" not in rows[2]["text"] and df.columns == rows[0].__fields__[:3]
     assert pii.pseudonymise(df.limit(0), KEY).collect() == []
+
+
+def test_query_counts_by_kind(spark, tmp_path):
+    spark.createDataFrame([(1, "a@b.co c@d.co 10.0.0.1", "x"), (2, None, "x")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in pii.op9_feistel_pseudonyms(spark, str(tmp_path)).collect()}
+    assert (rows[1]["n_email"], rows[1]["n_ip"], rows[1]["n_card"]) == (2, 1, 0) and rows[2]["n_email"] == 0 and rows[2]["text"] is None
