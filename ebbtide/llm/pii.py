@@ -169,6 +169,13 @@ def pseudonymise(docs: DataFrame, key: str, column: str = "text", found: str = "
     return (docs.withColumn("_pii", typed).withColumn(column, F.when(F.size("_pii") > 0, whole).otherwise(text)).withColumn(found, kept).drop("_pii"))
 
 
+def rewritten(docs: DataFrame, key: str) -> DataFrame:
+    """The documents with the same columns, text pseudonymised and n_chars (if there) counted anew."""
+    done = pseudonymise(docs, key, found="_found")
+    counted = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
+    return counted.select(*docs.columns)
+
+
 def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the pseudonymised text and how many values of each kind it held."""
     done = pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), DEMO_KEY)

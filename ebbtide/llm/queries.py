@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ebbtide.llm import chat, chunked_bpe, classifier, lm_scoring, pii, quality_rules, sharding, simhash, token_counts
+from ebbtide.llm import chat, chunked_bpe, classifier, decontamination, lm_scoring, pii, quality_rules, sharding, simhash, token_counts
 
 QUERIES = {
     "op1_log_bilinear": lm_scoring.op1_log_bilinear,
+    "op2_latent_retrieval": decontamination.op2_latent_retrieval,
     "op3_prefix_target": chat.op3_prefix_target,
     "op4_boosted_rules": quality_rules.op4_boosted_rules,
     "op5_token_counts": token_counts.op5_token_counts,

@@ -160,5 +160,33 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFram
     return prints.join(by_print, "_fp").select("doc_id", F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
+    """The documents, all columns, less all but one of each group of near copies: the one with the least (doc_id, fingerprint) stays, of
+    repeated rows any one; a null doc_id counts as larger than all others.
+
+    Null text: as in near_duplicates. The survivors' keys are different, so the join with the texts has no hot key.
+    """
+    ship(docs.sparkSession)
+    prints = saved(with_fingerprint(docs, size), "fingerprints")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_fp")
+    rooted = saved(groups(prints, radius), "simhash-groups")
+    first = prints.groupBy("_fp").agg(F.min(key).alias("key"))
+    winners = first.join(rooted, "_fp").groupBy("root").agg(F.min("key").alias("key"))
+    same = prints.groupBy("doc_id", "_fp").agg(F.count("*").alias("n"))
+    stay = winners.select(F.col("key.doc_id").alias("_id"), F.col("key._fp").alias("_fp")).join(
+        same.where("n > 1").select(F.col("doc_id").alias("_id2"), F.col("_fp").alias("_fp2"), "n"), F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_fp") == F.col("_fp2")), "left").select("_id", "_fp", F.coalesce("n", F.lit(1)).alias("_n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", BATCH_BYTES):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fingerprints(part.column("text").fill_null(""), size).view(np.int64))], [*part.schema.names, "_fp"])
+
+    own = docs.columns
+    marked = docs.mapInArrow(run, docs.select(*own).schema.add("_fp", "long"))
+    found = marked.join(stay.withColumnRenamed("_fp", "_fp2"), (F.col("_fp") == F.col("_fp2")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    once, more = found.where("_n = 1").select(*own), found.where("_n > 1").dropDuplicates(["_fp2", "_id"]).select(*own)
+    return once.unionByName(more)
+
+
 def op6_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
