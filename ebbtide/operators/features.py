@@ -208,13 +208,13 @@ def value_density(panel: DataFrame, cols: Sequence[str], has_data: str = "has_da
 
 
 # ---------------------------------------------------------------- temporal, categories
-def category_levels(rows: DataFrame, col: str, min_share: float = 0.03, limit: int = 12) -> DataFrame:
-    """Most frequent levels with at least ``min_share`` of the rows (null is a level of its own)."""
+def category_levels(rows: DataFrame, col: str, min_share: float = 0.03, limit: int | None = None) -> DataFrame:
+    """Levels with at least ``min_share`` of the rows, most frequent first (null is a level of its own); at most ``limit``, if given."""
     level = F.coalesce(F.col(col).cast("string"), F.lit(MISSING))
     counts = rows.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"))
-    share = F.col("n") / F.sum("n").over(W.partitionBy(F.lit(1)))
-    return (counts.withColumn("share", share).filter(F.col("share") >= min_share)
-            .orderBy(F.desc("n"), "level").limit(limit))
+    total = counts.agg(F.sum("n").alias("t")).select("t").scalar()
+    kept = counts.withColumn("share", F.col("n") / total).filter(F.col("share") >= min_share).orderBy(F.desc("n"), "level")
+    return kept if limit is None else kept.limit(limit)
 
 
 def category_shares(rows: DataFrame, col: str, levels: Sequence[str], client: str = "client",
@@ -251,14 +251,15 @@ def event_features(ids: DataFrame, events: DataFrame, numeric: Sequence[str] = (
             .withColumn("registros__count", F.coalesce(F.col("__n"), F.lit(0)).cast("double")).drop("__n"))
 
 
-def one_hot_levels(table: DataFrame, col: str, min_share: float = 0.03, limit: int = 12, floor: int = 3,
+def one_hot_levels(table: DataFrame, col: str, min_share: float = 0.03, limit: int | None = None, floor: int = 3,
                    binary: bool = False) -> DataFrame:
     """Levels of a client column with at least max(3, 3 %) clients; a binary column keeps the first one."""
     level = F.coalesce(F.col(col).cast("string"), F.lit(MISSING))
     counts = table.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(W.partitionBy(F.lit(1)))
+    total = counts.agg(F.sum("n").alias("t")).select("t").scalar()
     kept = (counts.withColumn("__t", total).filter(F.col("n") >= F.greatest(F.lit(float(floor)), min_share * F.col("__t")))
-            .drop("__t").orderBy(F.desc("n"), "level").limit(limit))
+            .drop("__t").orderBy(F.desc("n"), "level"))
+    kept = kept if limit is None else kept.limit(limit)
     return kept.orderBy("level").limit(1) if binary else kept
 
 

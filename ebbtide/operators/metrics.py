@@ -214,7 +214,7 @@ def queue_quality(panel: DataFrame, p: str = "p", amount: str = "amount", tops:
          .select(*by, client, "cancelled", F.col(amount).alias("__v"), loss.alias("__loss")))
     r = global_rank(d, *by, F.desc("__loss"), client, name="__r")
     if by:
-        r = r.withColumn("__r", F.col("__r") - F.min("__r").over(W.partitionBy(*by)) + 1)
+        r = r.join(r.groupBy(*by).agg(F.min("__r").alias("__lo")), list(by)).withColumn("__r", F.col("__r") - F.col("__lo") + 1)
     gone = F.col("cancelled")
     value = F.sum(F.when(gone, F.col("__v")))
     mid = quantiles(r.filter(gone), F.col("__r"), [0.5], ["median_position"], by).drop("n")
@@ -271,9 +271,9 @@ def arm_verdict(comparison: DataFrame) -> DataFrame:
 
 
 def order_only_arm(panel: DataFrame, p: str = "p", client: str = "client", m: str = "m") -> DataFrame:
-    """Risk raised by its last increase, used for ordering only: column ``p_order``."""
+    """Risk raised by its last increase, used for ordering only: column ``p_order``; missing where the risk is."""
     up = F.col(p) - F.lag(p).over(W.partitionBy(client).orderBy(m))
-    return panel.withColumn("p_order", F.least(F.col(p) + F.greatest(F.coalesce(up, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))
+    return panel.withColumn("p_order", F.when(F.col(p).isNotNull(), F.least(F.col(p) + F.greatest(F.coalesce(up, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))))
 
 
 def fold_stability(fold_weights: DataFrame, n_folds: int | Column) -> DataFrame:

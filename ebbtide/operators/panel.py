@@ -47,14 +47,14 @@ def contract_value(rows: DataFrame, value: str, client: str = "client", order: s
 
 
 def client_attributes(ids: DataFrame, table: DataFrame, cols: Sequence[str], client: str = "client",
-                      order: str | None = None, limit: int = 8) -> DataFrame:
-    """Up to eight descriptive columns, first row per client."""
+                      order: str | None = None, limit: int | None = None) -> DataFrame:
+    """Descriptive columns (at most ``limit``, if given), first row per client."""
     return attach_static(ids, table, list(cols)[:limit], client, order)
 
 
 def client_dates(ids: DataFrame, table: DataFrame, dates: dict[str, Column], client: str = "client",
-                 order: str | None = None, limit: int = 4) -> DataFrame:
-    """Up to four date columns as ``YYYY-MM``."""
+                 order: str | None = None, limit: int | None = None) -> DataFrame:
+    """Date columns (at most ``limit``, if given) as ``YYYY-MM``."""
     chosen = list(dates.items())[:limit]
     shown = table.withColumns({n: F.date_format(c, "yyyy-MM") for n, c in chosen})
     return attach_static(ids, shown, [n for n, _ in chosen], client, order)

@@ -1,9 +1,9 @@
 """Statistics kernel: exact ranks, AUC, quantiles and thresholds without a single-task sort.
 
 Rows are first collapsed to one row per (group, distinct value), so a value that holds a third of the data
-costs one row. Running totals over the distinct values use two levels: values are cut into ordered buckets by a
-pure expression (``value_bucket``), totals per bucket are accumulated first, and the window inside a bucket only
-sees that bucket. No task ever sorts a whole column.
+costs one row. Running totals over the distinct values use two levels: values are cut into ordered buckets by their
+distance from the smallest one of the group (``value_bucket``), so that values far from zero spread as well; totals
+per bucket are accumulated first, and the window inside a bucket only sees that bucket.
 """
 
 from __future__ import annotations
@@ -23,17 +23,20 @@ _SHIFT = 1100 * 1024   # keeps the bucket of any positive double positive
 
 
 def value_bucket(x: Column) -> Column:
-    """Order-preserving bucket number of a double (about 0.1 % wide, symmetric around zero)."""
-    a = F.abs(x)
+    """Order-preserving bucket number of a double (about 0.1 % wide, symmetric around zero; infinities have their own)."""
+    a = F.when(F.abs(x) != float("inf"), F.abs(x))
     e = F.floor(F.log2(a))
     b = e * _STEPS + F.floor((a / F.pow(F.lit(2.0), e.cast("double")) - 1) * _STEPS) + _SHIFT
+    b = F.when(F.abs(x) == float("inf"), F.lit(4 * _SHIFT).cast("bigint")).otherwise(b)
     return F.when(x == 0, F.lit(0).cast("bigint")).when(x > 0, b).otherwise(-b)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor reaches: ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The folder every executor reaches: ``spark.checkpoint.dir``. Without it a session in one process gets a temporary one, a cluster an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="ebbtide-checkpoint-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -64,8 +67,14 @@ def value_counts(df: DataFrame, value: Column | str, by: Sequence[str] = (), **s
 def running_totals(counts: DataFrame, by: Sequence[str], sums: Sequence[str]) -> DataFrame:
     """Add ``<c>_before`` (sum over smaller values of the group), ``<c>_total`` and ``next_value``."""
     by = list(by)
-    # the same null filter on both sides of the join below lets the two branches share one shuffle
-    d = counts.withColumn("__b", value_bucket(F.col("value"))).filter(F.col("__b").isNotNull())
+    # one row per group; the branches below read the same counts and share their shuffle
+    finite = F.when(F.abs("value") != float("inf"), F.col("value"))
+    if by:
+        least = counts.groupBy(*by).agg(F.min(finite).alias("__low"))
+        d = counts.join(least, by)
+    else:
+        d = counts.withColumn("__low", counts.agg(F.min(finite).alias("__low")).select("__low").scalar())
+    d = d.withColumn("__b", value_bucket(F.col("value") - F.coalesce("__low", F.lit(0.0)))).filter(F.col("__b").isNotNull()).drop("__low")
     groups = by if by else [F.lit(1)]
     across = W.partitionBy(*groups).orderBy("__b")
     earlier = across.rowsBetween(W.unboundedPreceding, -1)
@@ -126,42 +135,26 @@ def quantiles(df: DataFrame, value: Column | str, probs: Sequence[float], names:
 
 
 def youden(df: DataFrame, label: Column | str, value: Column | str, direction: Column | int = 1,
-           by: Sequence[str] = (), tidy: bool = True, max_cuts: int = 400) -> DataFrame:
-    """Cut that maximises TPR - FPR for the alarm ``direction*value >= direction*cut``.
+           by: Sequence[str] = (), tidy: bool = True) -> DataFrame:
+    """Cut that maximises TPR - FPR for the alarm ``direction*value >= direction*cut``, the smallest of equally good ones.
 
-    Above ``max_cuts`` distinct values the candidates are the interpolated quantiles 0, 1/400 ... 1, found among
-    the running totals rather than by testing every cut on every row. With ``tidy`` the cut moves to a round
-    number when at least 90 % of J survives.
+    Every distinct value is a candidate; the running totals hold both rates of all of them. With ``tidy`` the cut moves
+    to a round number when at least 90 % of J survives.
     """
     by = list(by)
     d = F.lit(direction) if isinstance(direction, int) else direction
     src = df.withColumn("__s", (F.col(value) if isinstance(value, str) else value).cast("double") * d) \
             .withColumn("__d", d)
     key = [*by, "__d"]
-    counts = keep(value_counts(src, "__s", key, n=F.lit(1).cast("bigint"), **_classes(label)))   # read four times below
-    run = running_totals(counts.withColumn("one", F.lit(1)), key, ["n", "n1", "n0", "one"])
-    run = run.withColumn("__many", F.col("one_total") > max_cuts)
-    n, lo, top = F.col("n_total") - 1, F.col("n_before"), F.col("n_before") + F.col("n") - 1
-    first = F.when(n > 0, F.ceil(lo * max_cuts / F.nullif(n, F.lit(0)))).otherwise(0)
-    past = F.when(n > 0, F.least(F.ceil((top + 1) * max_cuts / F.nullif(n, F.lit(0))) - 1, F.lit(max_cuts))) \
-        .otherwise(0)
-    steps = F.when(F.col("__many"), F.when(first <= past, F.sequence(first.cast("int"), past.cast("int")))) \
-        .otherwise(F.array(F.lit(-1)))
-    cuts = run.withColumn("__q", F.explode(steps))
-    h = F.col("__q") * n / float(max_cuts)
-    frac = F.when((F.col("__q") >= 0) & (F.floor(h) == top), h - F.floor(h)).otherwise(0.0)
-    inner = frac > 0
-    cut = F.when(inner, F.col("value") + frac * (F.col("next_value") - F.col("value"))).otherwise(F.col("value"))
+    counts = value_counts(src, "__s", key, n=F.lit(1).cast("bigint"), **_classes(label))
+    run = running_totals(counts, key, ["n1", "n0"])
 
     def share(c: str) -> Column:
-        kept = F.col(f"{c}_total") - F.col(f"{c}_before") - F.when(inner, F.col(c)).otherwise(0)
-        return F.try_divide(kept.cast("double"), F.col(f"{c}_total").cast("double"))
-
-    scored = cuts.withColumn("__j", share("n1") - share("n0")).withColumn("__cut", cut)
-    best = scored.groupBy(*key).agg(
-        F.min_by(F.struct("__cut", "__j"), F.struct((-F.col("__j")).alias("a"), F.col("__cut").alias("b")))
-        .alias("__best"))
-    best = best.select(*key, F.col("__best.__cut").alias("__cut"), F.col("__best.__j").alias("j"))
+        return F.try_divide((F.col(f"{c}_total") - F.col(f"{c}_before")).cast("double"), F.col(f"{c}_total").cast("double"))
+
+    best = run.withColumn("__j", share("n1") - share("n0")).groupBy(*key).agg(
+        F.min_by(F.struct("value", "__j"), F.struct((-F.col("__j")).alias("a"), F.col("value").alias("b"))).alias("__best"))
+    best = best.select(*key, F.col("__best.value").alias("__cut"), F.col("__best.__j").alias("j"))
     if not tidy:
         return best.filter(F.col("j").isNotNull()).select(*by, (F.col("__d") * F.col("__cut")).alias("threshold"), "j")
 

@@ -166,9 +166,8 @@ def verdict(spark, sf):
     return out.withColumns({c: rd(c) for c in ("difference", "se")})
 
 
-@query("metrics_order_only_arm", f"""WITH {E_FEAT_SQL} SELECT client, m, {rs('least(p + greatest(coalesce(p - lag(p) OVER (PARTITION BY client ORDER BY m), 0), 0), 1)')} AS p_order FROM e_risk""")
+@query("metrics_order_only_arm", f"""WITH {E_FEAT_SQL} SELECT client, m, {rs('CASE WHEN p IS NOT NULL THEN least(p + greatest(coalesce(p - lag(p) OVER (PARTITION BY client ORDER BY m), 0), 0), 1) END')} AS p_order FROM e_risk""")
 def order_only(spark, sf):
-    # least() skips nulls, so rows without a risk stay at 1 on both sides
     return mt.order_only_arm(e_scored(spark, sf)).select("client", "m", rd("p_order"))
 
 

@@ -19,7 +19,7 @@ from .rounding import rd, rs
 HIGH, WATCH = 0.4, 0.25
 
 QUEUE_SQL = f"""{E_FEAT_SQL}, dl AS (SELECT *, CASE WHEN lag(m) OVER w = m - 1 THEN p - lag(p) OVER w END AS risk_delta FROM e_risk WINDOW w AS (PARTITION BY client ORDER BY m)),
-  q0 AS (SELECT client, m, p AS risk, amount AS monthly_value, CASE WHEN p >= {HIGH} THEN 'alto' WHEN p >= {WATCH} THEN 'atencao' ELSE 'baixo' END AS band, risk_delta, least(p + greatest(coalesce(risk_delta, 0), 0), 1) AS adjusted_risk,
+  q0 AS (SELECT client, m, p AS risk, amount AS monthly_value, CASE WHEN p >= {HIGH} THEN 'alto' WHEN p >= {WATCH} THEN 'atencao' ELSE 'baixo' END AS band, risk_delta, CASE WHEN p IS NOT NULL THEN least(p + greatest(coalesce(risk_delta, 0), 0), 1) END AS adjusted_risk,
      p*amount*12 AS expected_loss, least(p + greatest(coalesce(risk_delta, 0), 0), 1)*amount*12 AS adjusted_loss FROM dl WHERE reference),
   q AS (SELECT *, row_number() OVER (ORDER BY coalesce(round(adjusted_loss, 6), -1) DESC, risk DESC, client) AS priority FROM q0)"""
 
@@ -223,7 +223,8 @@ def filters(spark, sf):
     return d.filter("band <> 'alto'").select("client", "priority")
 
 
-@query("queue_attribute_facets", f"WITH {QUEUE_SQL}, s AS (SELECT DISTINCT c_mktsegment AS v FROM q JOIN customer ON c_custkey = client) SELECT 'segment' AS attribute, v AS value FROM s WHERE (SELECT count(*) FROM s) BETWEEN 2 AND 12")
+@query("queue_attribute_facets", f"""WITH {QUEUE_SQL}, s AS (SELECT DISTINCT unnest(['segment', 'nation']) AS attribute, unnest([c_mktsegment, CAST(c_nationkey AS VARCHAR)]) AS value FROM q JOIN customer ON c_custkey = client)
+  SELECT attribute, value FROM s WHERE attribute IN (SELECT attribute FROM s GROUP BY 1 HAVING count(*) >= 2)""")
 def facets(spark, sf):
     return qu.attribute_facets(with_attributes(spark, sf))
 

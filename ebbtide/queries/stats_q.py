@@ -173,10 +173,9 @@ def youden(spark, sf):
     return st.youden(d, "y", "err", -1, tidy=False).select(*r6("threshold", "j"))
 
 
-@query("stats_youden_many_values", f"""WITH {E_SQL}, g AS (SELECT value AS s, y FROM e_pan WHERE train AND value IS NOT NULL),
-  c AS (SELECT DISTINCT unnest(quantile_cont(s, [i/400.0::DOUBLE for i in range(0, 401)])) AS cut FROM g), t AS (SELECT sum(y) AS n1, sum(1-y) AS n0 FROM g),
-  j AS (SELECT cut, sum(CASE WHEN s >= cut THEN y END)::DOUBLE/max(n1) - sum(CASE WHEN s >= cut THEN 1-y END)::DOUBLE/max(n0) AS j FROM g, c, t GROUP BY 1)
-  SELECT {rs('arg_max(cut, j)', 4)} AS threshold, {rs('max(j)')} AS j FROM j""")
+@query("stats_youden_many_values", f"""WITH {E_SQL}, g AS (SELECT value AS s, sum(y) AS p, sum(1-y) AS q FROM e_pan WHERE train AND value IS NOT NULL GROUP BY 1),
+  j AS (SELECT s, sum(p) OVER (ORDER BY s DESC)::DOUBLE/(SELECT sum(p) FROM g) - sum(q) OVER (ORDER BY s DESC)::DOUBLE/(SELECT sum(q) FROM g) AS j FROM g)
+  SELECT {rs('arg_min(s, struct_pack(a := -j, b := s))', 4)} AS threshold, {rs('max(j)')} AS j FROM j""")
 def youden_many(spark, sf):
     d = e_panel(spark, sf).filter("train")
     return st.youden(d, "y", "value", 1, tidy=False).select(rd("threshold", 4), rd("j"))
