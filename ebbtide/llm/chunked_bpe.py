@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from ebbtide.llm import textstats as ts
 from ebbtide.llm.common import documents, ship, slices, text_of
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 WINDOW, MASK = 16, (1 << 10) - 1     # cuts about every 1024 bytes
-KEPT_WORDS, KEPT_BYTES = 300_000, 48 << 20
+KEPT_WORDS, KEPT_BYTES = 250_000, 16 << 20
 _DRAWN = np.random.default_rng(16).integers(1, 1 << 32, 256, np.uint32)
 _FACTOR = np.uint32(0x9E3779B1)
 _BLANK = b" \t\n\r\x0b\x0c"
@@ -65,6 +65,11 @@ class Encoder:
         self.chunks: dict[bytes, tuple[bytes, bytes, bytes, bytes, bytes, bytes]] = {}
         self.held = self.encoded_chunks = self.disagreed = 0
 
+    def release(self) -> None:
+        """Forgets the chunks at the end of a task: the next one's are others."""
+        self.chunks.clear()
+        self.held = 0
+
     def _packed(self, ids: list[int]) -> tuple[bytes, bytes]:
         return np.asarray(ids, "<u4").tobytes(), " ".join(map(self.library.id_to_token, ids)).encode()
 
@@ -200,6 +205,8 @@ def encode(docs: DataFrame, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
                 ids, said = zip(*enc.texts(texts), strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(said, pa.binary()).cast(pa.string())], ["doc_id", "ids", "decoded"])
                 at = upto
+            pa.default_memory_pool().release_unused()
+        enc.release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     ship(docs.sparkSession)

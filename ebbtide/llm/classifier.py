@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbtide.llm import textstats as ts
-from ebbtide.llm.common import documents, ship, slices, text_of
+from ebbtide.llm.common import documents, drawn, ship, slices, text_of
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 BAD, NONE, GOOD = 0, 1, 2
-TRAIN_ROWS = 6_000           # different texts that the scorer is fitted on, about; never more than twice as many
+TRAIN_ROWS = 4_000           # different texts that the scorer is fitted on, about; never more than twice as many
 LEAST_TEXTS = 5              # a feature needs so many of them
-LABEL_ROWS = 20_000          # labelled documents that markers are looked for in, at most
+LABEL_ROWS = 20_000          # labelled documents that markers are looked for in, about; never more than twice as many
 STEMS = (4, 5, 7)            # letters of a stem
 PURE = 0.9                   # share of toxic texts among those with a marker
 
@@ -94,10 +94,9 @@ def toxic_votes(words: pa.Array, offsets: np.ndarray, markers: Markers) -> np.nd
 
 
 def find_markers(docs: DataFrame, labels: DataFrame, rows: int = LABEL_ROWS) -> Markers:
-    """Words and stems that occur in toxic labelled texts (almost) only, more often than chance gives among all. At most ``rows`` labelled
-    documents are read, those whose doc_id has the smallest md5; equal texts count once. Rows with null doc_id or label don't take part."""
-    sample = (labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
-              .orderBy(F.md5(F.col("doc_id").cast("string"))).limit(rows))
+    """Words and stems that occur in toxic labelled texts (almost) only, more often than chance gives among all. About ``rows`` labelled
+    documents are read, drawn by a hash of their doc_id (``common.drawn``); equal texts count once. Rows with null doc_id or label don't take part."""
+    sample = drawn(labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL"), F.col("doc_id"), rows).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id").groupBy("text").agg(F.max("_toxic").alias("toxic"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,16 +170,28 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> Rel
     return known
 
 
-def fit_linear(features: list[np.ndarray], target: np.ndarray, l1: float = 2e-4, rounds: int = 300) -> tuple[dict[int, float], float]:
+@dataclass
+class Design:
+    """Which feature (column) each text (row) has, of those that LEAST_TEXTS have, and the columns' hashes."""
+
+    row: np.ndarray
+    column: np.ndarray
+    names: np.ndarray
+
+
+def design(sets: list[np.ndarray]) -> Design:
+    row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(f) for f in sets])
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    names, n = np.unique(flat, return_counts=True)
+    names = names[n >= LEAST_TEXTS]
+    column = np.searchsorted(names, flat).astype(np.int32)
+    keep = names[np.minimum(column, len(names) - 1)] == flat if len(names) else np.zeros(len(flat), bool)
+    return Design(row[keep], column[keep], names)
+
+
+def fit_linear(x: Design, target: np.ndarray, l1: float = 2e-4, rounds: int = 300) -> tuple[dict[int, float], float]:
     """Logistic regression with an L1 penalty (FISTA, full passes) on sets of feature hashes and soft targets: weights by hash, and the bias."""
-    lengths = np.array([len(f) for f in features], np.int64)
-    flat = np.concatenate(features) if len(features) else np.zeros(0, np.uint64)
-    names, index, n = np.unique(flat, return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(features)), lengths)
-    used = n >= LEAST_TEXTS
-    keep = used[index]
-    place = np.cumsum(used) - 1
-    row, column, names = row[keep], place[index[keep]], names[used]
+    row, column, names = x.row, x.column, x.names
     share = float(np.clip(target.mean() if len(target) else 0.5, 1e-4, 1 - 1e-4))
     bias = np.log(share / (1 - share))
     scale = 1 / np.sqrt(np.maximum(np.bincount(column, minlength=len(names)) / max(len(target), 1), 1e-2))   # less frequent features step as far as frequent ones
@@ -284,7 +295,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     drawn = docs.select(text_of().alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share).dropDuplicates(["text"])
     sample = drawn.mapInArrow(run, "q double, t double, features binary").limit(2 * rows).toArrow()
     sets = [np.frombuffer(x, np.uint64) for x in sample["features"].to_pylist()]
-    heads = [fit_linear(sets, sample[k].to_numpy()) for k in ("q", "t")]
+    targets = [sample[k].to_numpy() for k in ("q", "t")]
+    matrix = design(sets)
+    del sets, sample
+    heads = [fit_linear(matrix, y) for y in targets]
     hashes = np.array(sorted({h for w, _ in heads for h in w}), np.uint64)
     weights = np.array([[w.get(int(h), 0.0) for h in hashes] for w, _ in heads]).reshape(2, len(hashes))
     return Model(hashes, weights, np.array([b for _, b in heads]), quality, toxic)

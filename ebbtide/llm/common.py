@@ -9,10 +9,12 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ARROW_BYTES = 4 << 20
 SPACE = r"[\x20\x09-\x0D]"
 
 
@@ -26,7 +28,10 @@ def text_of(column: str = "text") -> Column:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package's source to the Python workers, once in a session: they need it to run the operators' functions."""
+    """Sends this package's source to the Python workers, once in a session: they need it to run the operators' functions. Arrow batches
+    are bounded by bytes, so that long texts don't add up in a worker."""
+    for name, most in (("maxBytesPerBatch", ARROW_BYTES), ("maxRecordsPerBatch", 10_000)):
+        spark.conf.set(f"spark.sql.execution.arrow.{name}", most)
     context, root = spark.sparkContext, Path(__file__).resolve().parents[1]
     if getattr(context, "_ebbtide_shipped", False):
         return
@@ -64,7 +69,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Pieces of a batch with at most max_bytes of the column's text each, and one row at least."""
     values = batch.column(column)
-    sizes = [0 if n is None else n for n in pa.compute.binary_length(values).to_pylist()]
+    sizes = [0 if n is None else n for n in pc.binary_length(values).to_pylist()]
     start, held = 0, 0
     for i, n in enumerate(sizes):
         if i > start and held + n > max_bytes:
@@ -73,3 +78,12 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.Re
         held += n
     if start < len(sizes):
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()
+
+
+def drawn(df: DataFrame, key: Column, rows: int) -> DataFrame:
+    """About ``rows`` rows (all, if there are fewer), those whose key has a small hash; never more than twice as many. Each task
+    sends on only its share of them, however many tasks there are."""
+    total = df.count()
+    share = int(min(1.0, rows / max(total, 1)) * (1 << 30))
+    return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < share).limit(2 * rows)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ebbtide.llm import textstats as ts
 from ebbtide.llm.common import documents, saved, ship, slices, text_of
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES, SYMBOL_BYTES = 4 << 20, 1 << 20   # of text and of symbols handled at once
 HEAD, CLASSES = 960, 63            # symbols: HEAD words, the end, CLASSES classes
 END = HEAD
 SYMBOLS = HEAD + 1 + CLASSES
@@ -94,10 +94,9 @@ def vocabulary(counts: DataFrame, n_docs: int) -> Vocabulary:
         if upto > TABLE_WORDS:
             break
         least = r["level"]
-    top = counts.where(short & (level >= (least if least is not None else 1 << 30))).toArrow().combine_chunks()
-    order = np.lexsort([np.asarray(top["word"].to_pylist(), object).astype("U64") if top.num_rows else np.zeros(0), -top["c"].to_numpy()])
-    words = top["word"].take(pa.array(order)).combine_chunks() if top.num_rows else pa.array([], pa.string())
-    words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
+    top = counts.where(short & (level >= (least if least is not None else 1 << 30))).toArrow()
+    top = top.take(pc.sort_indices(top, sort_keys=[("c", "descending"), ("word", "ascending")])).combine_chunks()
+    words = pa.concat_arrays(top["word"].chunks) if top.num_rows else pa.array([], pa.string())
     own = words.slice(0, HEAD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +111,7 @@ def vocabulary(counts: DataFrame, n_docs: int) -> Vocabulary:
     z = np.ones(CLASSES)
     for r in counts.mapInArrow(run, "class int, z long").groupBy("class").agg(F.sum("z").alias("z")).collect():
         z[r["class"] - HEAD - 1] += r["z"]
-    return Vocabulary(words, top["c"].to_numpy()[order], sum(r["c"] for r in rows) + n_docs, sum(r["n"] for r in rows) + bool(n_docs), n_docs, z)
+    return Vocabulary(words, top["c"].to_numpy(), sum(r["c"] for r in rows) + n_docs, sum(r["n"] for r in rows) + bool(n_docs), n_docs, z)
 
 
 def encode(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
@@ -233,13 +232,12 @@ def train(encoded: DataFrame, symbol_counts: np.ndarray, rounds: int = ROUNDS) -
                     model.step(c2[at:at + BATCH], c1[at:at + BATCH], w[at:at + BATCH])
 
             for b in batches:
-                if not b.num_rows:
-                    continue
-                w, offsets = _symbols(b.column("symbols"))
-                c2, c1 = contexts(w, offsets[:-1])
-                learn(c2, c1, w)
-                tokens += len(w)
-                held = [*held, (c2, c1, w)] if model.steps < LEAST_STEPS else []
+                for part in slices(b, "symbols", SYMBOL_BYTES):
+                    w, offsets = _symbols(part.column("symbols"))
+                    c2, c1 = contexts(w, offsets[:-1])
+                    learn(c2, c1, w)
+                    tokens += len(w)
+                    held = [*held, (c2, c1, w)] if model.steps < LEAST_STEPS else []
             while held and model.steps < LEAST_STEPS:
                 for x in held:
                     learn(*x)
@@ -303,14 +301,13 @@ def score_symbols(encoded: DataFrame, p: Params, vocab: Vocabulary) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         params, own, z = sent.value
         scorer = scorer_of(digest, params)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            w, offsets = _symbols(b.column("symbols"))
-            each = scorer(*contexts(w, offsets[:-1]), w) - z[w]
-            sums = [np.add.reduceat(x, offsets[:-1]) for x in (each, own[w])]
-            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in ("rid", "doc_id", "held_out")], pa.array(np.diff(offsets)), b.column("known"), b.column("log_c"), *map(pa.array, sums)],
-                                             ["rid", "doc_id", "held_out", "n_tokens", "known", "log_c", "part", "own_log_c"])
+        for batch in batches:
+            for b in slices(batch, "symbols", SYMBOL_BYTES):
+                w, offsets = _symbols(b.column("symbols"))
+                each = scorer(*contexts(w, offsets[:-1]), w) - z[w]
+                sums = [np.add.reduceat(x, offsets[:-1]) for x in (each, own[w])]
+                yield pa.RecordBatch.from_arrays([*[b.column(n) for n in ("rid", "doc_id", "held_out")], pa.array(np.diff(offsets)), b.column("known"), b.column("log_c"), *map(pa.array, sums)],
+                                                 ["rid", "doc_id", "held_out", "n_tokens", "known", "log_c", "part", "own_log_c"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("rid", "doc_id", "held_out", "symbols", "known", "log_c").mapInArrow(

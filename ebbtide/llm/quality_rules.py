@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbtide.llm import textstats as ts
-from ebbtide.llm.common import documents, saved, ship, slices, text_of
+from ebbtide.llm.common import documents, drawn, saved, ship, slices, text_of
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks"]
 _SYMBOLS, _UPPER, _MARKS = ts.byte_class("#*$%&|<>"), ts.byte_class("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ts.byte_class("!?\"'()[]{}=+_~^@\\/")
 #: Features and the direction of their effect on quality: -1 may only lower it, 0 is free.
@@ -122,11 +122,10 @@ def fit(x: np.ndarray, y: np.ndarray, monotone: list[int], rounds: int = 60, dep
 
 
 def train(counted: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees | None:
-    """Trees for the label quality, fitted on the driver on at most rows labelled documents: those whose doc_id has the smallest md5.
+    """Trees for the label quality, fitted on the driver on about rows labelled documents, drawn by a hash of the doc_id (``common.drawn``).
     Rows with a null doc_id or label don't take part; repeated rows count as often as they stand there, within the bound."""
-    labelled = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("_y"))
-    sample = (counted.where("n_words > 0").join(labelled, "doc_id").withColumn("_h", F.md5(F.col("doc_id").cast("string")))
-              .orderBy("_h", "_y", *COUNTS).limit(rows).select("_y", *COUNTS).toPandas())
+    labelled = drawn(labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("_y")), F.col("doc_id"), rows)
+    sample = counted.where("n_words > 0").join(labelled, "doc_id").limit(4 * rows).select("_y", *COUNTS).toPandas().sort_values(["_y", *COUNTS])
     return fit(features({c: sample[c].to_numpy() for c in COUNTS}), sample["_y"].to_numpy(float), list(FEATURES.values()))
 
 

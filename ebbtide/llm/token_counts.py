@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ebbtide.llm.common import documents, ship, slices, text_of
 from ebbtide.llm.textstats import coded
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 CALL_BYTES = 256 << 10
-KEPT_PIECES = 400_000
+KEPT_PIECES = 200_000
 #: Space that another white-space character or the end follows: there the run of white space goes on and must stay whole.
 _RUN = r" [\s\pZ\x{85}\x{1c}-\x{1f}\x{0b}]| $|\|>"
 #: In such texts, only before a space that follows a printable ASCII character.
