@@ -6,40 +6,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.llm import textstats as ts
+from ebbtide.llm import shingles
 from ebbtide.llm.common import documents, saved, ship, slices, text_of
 from ebbtide.llm.components import components
 
 BATCH_BYTES = 2 << 20
-SEED = 42
 LARGE_BUCKET = 2_000
 
 
 def fingerprints(texts: pa.Array, size: int = 4) -> np.ndarray:
     """64-bit SimHash of each text's word shingles, repeats included. Fewer words than size: one shingle of all; none: 0."""
-    words, offsets = ts.split_words(pc.ascii_lower(texts))
+    h, n = shingles.hashes(texts, size)
     out = np.zeros(len(texts), np.uint64)
-    if not len(words):
+    if not len(h):
         return out
-    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_buffer()
-    ends = np.cumsum(np.asarray(pc.binary_length(words), dtype=np.int64) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n = np.diff(offsets)
-    shingles = np.where(n > 0, np.maximum(n - size + 1, 1), 0)
-    first = np.repeat(offsets[:-1] - np.concatenate(([0], np.cumsum(shingles)[:-1])), shingles) + np.arange(shingles.sum())
-    last = np.minimum(first + size, np.repeat(offsets[1:], shingles)) - 1
-    view, of = memoryview(joined), xxhash.xxh64_intdigest
-    h = np.fromiter((of(view[a:b], SEED) for a, b in zip(starts[first].tolist(), ends[last].tolist(), strict=True)), np.uint64, len(first))
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    full = shingles > 0
-    at = np.concatenate(([0], np.cumsum(shingles[full])[:-1]))
+    full = n > 0
+    at = np.concatenate(([0], np.cumsum(n[full])[:-1]))
     ones = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
-    out[full] = np.packbits(2 * ones > shingles[full][:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    out[full] = np.packbits(2 * ones > n[full][:, None], axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
 
@@ -160,30 +148,25 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFram
     return prints.join(by_print, "_fp").select("doc_id", F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
-    """The documents, all columns, less all but one of each group of near copies: the one with the least (doc_id, fingerprint) stays, of
-    repeated rows any one; a null doc_id counts as larger than all others.
+def one_of_each(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
+    """The documents, all columns, less all but one of each group of near copies: documents whose word shingles have a Jaccard similarity of
+    at least least, directly or over others. The one with the least (doc_id, name of its shingle set) stays, of repeated rows any one; a null
+    doc_id counts as larger than all others.
 
-    Null text: as in near_duplicates. The survivors' keys are different, so the join with the texts has no hot key.
+    Null text: no shingles; texts without any are copies of each other. The survivors' keys are different, so the join with the texts has no hot key.
     """
     ship(docs.sparkSession)
-    prints = saved(with_fingerprint(docs, size), "fingerprints")
+    own = docs.columns
+    marked = saved(shingles.with_signatures(docs, size), "marked")
+    prints = marked.select("doc_id", "_fp")
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_fp")
-    rooted = saved(groups(prints, radius), "simhash-groups")
+    rooted = saved(shingles.groups(marked, size, least), "alike-groups")
     first = prints.groupBy("_fp").agg(F.min(key).alias("key"))
     winners = first.join(rooted, "_fp").groupBy("root").agg(F.min("key").alias("key"))
     same = prints.groupBy("doc_id", "_fp").agg(F.count("*").alias("n"))
     stay = winners.select(F.col("key.doc_id").alias("_id"), F.col("key._fp").alias("_fp")).join(
         same.where("n > 1").select(F.col("doc_id").alias("_id2"), F.col("_fp").alias("_fp2"), "n"), F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_fp") == F.col("_fp2")), "left").select("_id", "_fp", F.coalesce("n", F.lit(1)).alias("_n"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", BATCH_BYTES):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fingerprints(part.column("text").fill_null(""), size).view(np.int64))], [*part.schema.names, "_fp"])
-
-    own = docs.columns
-    marked = docs.mapInArrow(run, docs.select(*own).schema.add("_fp", "long"))
-    found = marked.join(stay.withColumnRenamed("_fp", "_fp2"), (F.col("_fp") == F.col("_fp2")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    found = marked.select(*own, "_fp").join(stay.withColumnRenamed("_fp", "_fp2"), (F.col("_fp") == F.col("_fp2")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     once, more = found.where("_n = 1").select(*own), found.where("_n > 1").dropDuplicates(["_fp2", "_id"]).select(*own)
     return once.unionByName(more)
 

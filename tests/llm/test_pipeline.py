@@ -78,3 +78,25 @@ def test_one_of_each_keeps_exactly_one_row_of_a_group(spark):
     want = {(2, int(fingerprints(pa.array([rows[1][1]]))[0])), (5, 0), *[(r[0], int(fingerprints(pa.array([r[1]]))[0])) for r in (rows[6], rows[7], rows[9])]}
     assert len(found) == len(set(found)) and set(found) == want
     assert one_of_each(docs.limit(0)).collect() == []
+
+
+def test_near_duplicate_stage_reaches_a_similarity_of_four_fifths(spark):
+    r = random.Random(5)
+    vocab = [f"w{i}" for i in range(3000)]
+    def shingled(t):
+        w = t.split()
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+    rows, near, far = [], [], []
+    for i in range(120):
+        words = [r.choice(vocab) for _ in range(r.randrange(150, 300))]
+        rows.append((3 * i, " ".join(words), "x"))
+        for k, changes in ((1, len(words) // 50), (2, len(words) // 15)):
+            new = list(words)
+            for at in r.sample(range(len(new)), changes):
+                new[at] = "changed"
+            a, b = shingled(rows[3 * i][1]), shingled(" ".join(new))
+            (near if len(a & b) / len(a | b) >= 0.8 else far).append(3 * i + k)
+            rows.append((3 * i + k, " ".join(new), "x"))
+    assert len(near) > 100 and len(far) > 100
+    left = {x["doc_id"] for x in one_of_each(spark.createDataFrame(rows, "doc_id long, text string, x string")).collect()}
+    assert {3 * i for i in range(120)} <= left and len(left & set(near)) <= 0.02 * len(near) and len(set(far) - left) <= 0.02 * len(far)
