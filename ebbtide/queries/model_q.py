@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from ..config import fast_profile
+from ..config import Config
 from ..operators import features as ft
 from ..operators import models as mo
 from ..operators import selection as se
@@ -18,7 +18,7 @@ from .registry import query, table
 from .rounding import rd, rs
 from .schema_q import labelled_base
 
-CFG = fast_profile()
+CFG = Config()
 COLS = ["n__level", "n__last", "err__last", "buy6"]
 
 
@@ -112,9 +112,8 @@ def panel(spark, sf):
     return st.materialize(e_features(spark, sf))
 
 
-def two_features(spark, sf):
-    meta = {k: v for k, v in feature_meta().items() if k in ("value__level", "n__level", "err__level")}
-    return panel(spark, sf), meta
+def candidates(spark, sf):
+    return panel(spark, sf), feature_meta()
 
 
 def fixed_selection(d, meta):
@@ -132,19 +131,19 @@ def pre_select(spark, sf):
 
 @query("selection_stability")
 def stability(spark, sf):
-    d, meta = two_features(spark, sf)
-    return se.report_frame(spark, se.stability_select(d, fixed_selection(d, meta), replace(CFG, rounds=6)))
+    d, meta = candidates(spark, sf)
+    return se.report_frame(spark, se.stability_select(d, fixed_selection(d, meta), CFG))
 
 
 @query("selection_shadows")
 def shadows(spark, sf):
-    d, meta = two_features(spark, sf)
-    return se.report_frame(spark, se.shadow_select(d, fixed_selection(d, meta), replace(CFG, shadow_rounds=2)))
+    d, meta = candidates(spark, sf)
+    return se.report_frame(spark, se.shadow_select(d, fixed_selection(d, meta), CFG))
 
 
 def scored_by(kind):
     def run(spark, sf):
-        d, meta = two_features(spark, sf)
+        d, meta = candidates(spark, sf)
         sel = fixed_selection(d, meta)
         model = mo.fit_logistic(d, sel, CFG) if kind == "logistic" else mo.fit_trees(kind, d, sel, CFG)
         out = model.contributions(model.score(d).filter("scorable"))
@@ -167,7 +166,7 @@ def platt(spark, sf):
 @query("train_events_queue")
 def train_queue(spark, sf):
     """Whole plan on the labelled events base (months are too few, so the day of the event is the only period used
-    by the other queries; here the panel is monthly and validation is off)."""
+    by the other queries; here the panel is monthly)."""
     t = labelled_base(spark, sf)
     o = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderdate", "o_totalprice", "o_orderpriority")
     last = o.groupBy("c_custkey").agg(F.max("o_orderdate").alias("last"), F.count(F.lit(1)).alias("n"))
@@ -176,7 +175,7 @@ def train_queue(spark, sf):
                          F.when(gone, F.date_format(F.add_months("last", 1), "yyyy-MM")).alias("mes_saida"))
     tables = {"clientes": table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), "situacao": status, "pedidos": o, "uso": t["uso"].drop("ts")}
     m = Mapping("clientes", "c_custkey", "situacao", "situacao", "Cancelado", "mes_saida", "clientes", "c_acctbal")
-    r = train(tables, m, replace(CFG, validate=False, rounds=2, inner_folds=2, min_hist=2, n_persistence=1))
+    r = train(tables, m, replace(CFG, min_hist=2))
     return r.queue.select("client", "priority", "risk", "band", "action", "dominant")
 
 
@@ -227,14 +226,14 @@ def leak_flags(spark, sf):
 @query("validation_nested_oof")
 def nested(spark, sf):
     from ..operators.validation import nested_oof
-    d, meta = two_features(spark, sf)
-    v = nested_oof(d, meta, replace(CFG, folds=2, rounds=2, inner_folds=2, sparse_cs=(0.1,), ridge_cs=(0.1,), n_persistence=0), 3, ["logistic"])
+    d, meta = candidates(spark, sf)
+    v = nested_oof(d, meta, CFG, 3, ["logistic"])
     return v.oof.join(v.baseline, ["client", "m"], "left").select("model", "client", "m", "fold", "p", "base_score", "base_alarm")
 
 
 @query("model_two_stage")
 def two_stage(spark, sf):
-    d, meta = two_features(spark, sf)
-    cfg = replace(CFG, delta_feature=True, delta_folds=2, rounds=2, inner_folds=2, sparse_cs=(0.1,), ridge_cs=(0.1,), n_persistence=0)
+    d, meta = candidates(spark, sf)
+    cfg = replace(CFG, delta_feature=True)
     model, wide, _ = mo.fit_two_stage("logistic", d, meta, cfg, 3)
     return model.score(model.prepare(wide).filter("scorable")).select("client", "m", "p", "risco_previsto__delta")
