@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ebbtide.llm import chat, chunked_bpe, classifier, decontamination, lm_scoring, pii, quality_rules, sharding, simhash, token_counts
+from ebbtide.llm import chat, chunked_bpe, classifier, decontamination, lm_scoring, pii, prefix_trie, quality_rules, repair, sharding, simhash, token_counts
 
 QUERIES = {
     "op1_log_bilinear": lm_scoring.op1_log_bilinear,
@@ -15,8 +15,12 @@ QUERIES = {
     "op8_weak_label_classifier": classifier.op8_weak_label_classifier,
     "op9_feistel_pseudonyms": pii.op9_feistel_pseudonyms,
     "op10_rendezvous_sharding": sharding.op10_rendezvous_sharding,
+    "op11_structure_repair": repair.op11_structure_repair,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 ORACLES = {
     "op3_prefix_target": chat.SQL,
     "op10_rendezvous_sharding": sharding.SQL,
+    "op11_structure_repair": repair.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
 }
