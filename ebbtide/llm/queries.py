@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ebbtide.llm import chat, chunked_bpe, classifier, decontamination, lm_scoring, pii, prefix_trie, quality_rules, repair, sharding, simhash, token_counts
+from ebbtide.llm import chat, chunked_bpe, classifier, decontamination, lm_scoring, pii, prefix_trie, quality_rules, repair, sharding, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_log_bilinear": lm_scoring.op1_log_bilinear,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_feistel_pseudonyms": pii.op9_feistel_pseudonyms,
     "op10_rendezvous_sharding": sharding.op10_rendezvous_sharding,
     "op11_structure_repair": repair.op11_structure_repair,
+    "op12_counterfactual_toxicity": toxicity.op12_counterfactual_toxicity,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 ORACLES = {
