@@ -83,12 +83,12 @@ def swapped(own: list[str], others: dict[str, list[str]], swaps: int = SWAPS) ->
         return []
     rest = {h for w in own if w not in others for h in hashed(w)}
     before = {h for w in named for h in hashed(w)} - rest
-    out = []
+    forms = []
     for k in range(swaps):
         after = {h for w in named for h in hashed(others[w][k % len(others[w])])} - rest
-        if after != before and (after, before) not in [(a | before, b | after) for a, b in out]:
-            out.append((after - before, before - after))
-    return out
+        if after != before and after not in forms:
+            forms.append(after)
+    return [(after - before, before - after) for after in forms]
 
 
 # ---------------------------------------------------------------- the fit
@@ -107,12 +107,14 @@ class Sparse:
 
 def sparse(sets: list[np.ndarray], names: np.ndarray, scale: np.ndarray, signs: list[np.ndarray] | None = None) -> Sparse:
     """Rows from sets of feature hashes; those not in names are left out."""
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    sign = np.concatenate(signs) if signs else np.ones(len(flat))
-    at = np.minimum(np.searchsorted(names, flat), max(len(names) - 1, 0))
+    at = np.minimum(np.searchsorted(names, flat), max(len(names) - 1, 0)).astype(np.int32)
     known = names[at] == flat if len(names) else np.zeros(len(flat), bool)
-    return Sparse(row[known], at[known], sign[known] * scale[at[known]], len(sets), len(names))
+    del flat
+    row, at = row[known], at[known]
+    value = scale[at] if signs is None else scale[at] * (np.concatenate(signs)[known] if signs else 1.0)
+    return Sparse(row, at, value, len(sets), len(names))
 
 
 @dataclass
@@ -151,11 +153,12 @@ def fit(sets: list[np.ndarray], target: np.ndarray, changes: list[tuple[np.ndarr
     bias = float(np.log(share / (1 - share)))
     if not len(target) or target.min() == target.max():
         return Scorer(np.zeros(0, np.uint64), np.zeros(0), bias)
-    flat, n = np.unique(np.concatenate(sets), return_counts=True)
+    flat, n = np.unique(np.concatenate(sets), return_counts=True)   # each feature of the texts and how many have it
     touched = np.unique(np.concatenate([x for c in changes for x in c])) if changes else np.zeros(0, np.uint64)
     names = np.union1d(flat[n >= LEAST_TEXTS], np.intersect1d(touched, flat))
     seen = np.zeros(len(names))
     seen[np.isin(names, flat)] = n[np.isin(flat, names)]
+    del flat, n
     scale = 1 / np.sqrt(np.maximum(seen / len(target), 1e-2))    # less frequent features step as far as frequent ones
     x = sparse(sets, names, scale)
     d = sparse([np.concatenate(c) for c in changes], names, scale, [np.concatenate((np.ones(len(a)), -np.ones(len(b)))) for a, b in changes])
@@ -220,7 +223,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, strength: fl
     got = texts.mapInArrow(run, "target double, features binary, gained array<binary>, lost array<binary>").limit(2 * rows).toArrow().sort_by([("features", "ascending")])
     as_set = lambda x: np.frombuffer(x, np.uint64) if len(x) else np.zeros(0, np.uint64)
     changes = [(as_set(a), as_set(b)) for g, lo in zip(got["gained"].to_pylist(), got["lost"].to_pylist(), strict=True) for a, b in zip(g, lo, strict=True)]
-    return fit([as_set(x) for x in got["features"].to_pylist()], got["target"].to_numpy(), changes, strength)
+    target, sets = got["target"].to_numpy(), [as_set(x.as_buffer()) if x.as_buffer() else as_set(b"") for x in got["features"]]
+    return fit(sets, target, changes, strength)
 
 
 ADDED = ["held_out", "score", "predicted"]
