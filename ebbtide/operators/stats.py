@@ -146,7 +146,13 @@ def youden(df: DataFrame, label: Column | str, value: Column | str, direction: C
     src = df.withColumn("__s", (F.col(value) if isinstance(value, str) else value).cast("double") * d) \
             .withColumn("__d", d)
     key = [*by, "__d"]
-    counts = value_counts(src, "__s", key, n=F.lit(1).cast("bigint"), **_classes(label))
+    return best_cuts(value_counts(src, "__s", key, n=F.lit(1).cast("bigint"), **_classes(label)), by, tidy)
+
+
+def best_cuts(counts: DataFrame, by: Sequence[str], tidy: bool = True) -> DataFrame:
+    """``youden`` from class counts: one row for each group, direction ``__d`` and value times direction, with n, n1 and n0."""
+    by = list(by)
+    key = [*by, "__d"]
     run = running_totals(counts, key, ["n1", "n0"])
 
     def share(c: str) -> Column:
