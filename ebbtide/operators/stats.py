@@ -1,9 +1,10 @@
 """Statistics kernel: exact ranks, AUC, quantiles and thresholds without a single-task sort.
 
 Rows are first collapsed to one row per (group, distinct value), so a value that holds a third of the data
-costs one row. Running totals over the distinct values use two levels: values are cut into ordered buckets by their
-distance from the smallest one of the group (``value_bucket``), so that values far from zero spread as well; totals
-per bucket are accumulated first, and the window inside a bucket only sees that bucket.
+costs one row. Running totals over the distinct values use two levels: values are cut into ordered buckets by the 17 quantiles
+of their group's distinct values between which they lie and by their distance from the nearer one (``value_bucket``), so that values
+spread wherever they crowd and whatever lies far from them; totals per bucket are accumulated first, and the window inside
+a bucket only sees that bucket.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import round_step
 
 _STEPS = 1024          # buckets per power of two
+_ANCHORS = 16
 _SHIFT = 1100 * 1024   # keeps the bucket of any positive double positive
 
 
@@ -64,17 +66,26 @@ def value_counts(df: DataFrame, value: Column | str, by: Sequence[str] = (), **s
     return d.groupBy(*by, F.col("__v").alias("value")).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
 
 
+def bucketed(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Adds ``__b``, an ordered bucket of each value within its group; values that aren't numbers leave."""
+    finite = F.when(F.abs("value") != float("inf"), F.col("value"))
+    anchors = F.percentile_approx(finite, F.array(*[F.lit(i / _ANCHORS) for i in range(_ANCHORS + 1)]), F.lit(1000))
+    if by:   # one row per group; both branches read the same counts and share their shuffle
+        d = counts.join(counts.groupBy(*by).agg(anchors.alias("__a")), list(by))
+    else:
+        d = counts.withColumn("__a", counts.agg(anchors.alias("__a")).select("__a").scalar())
+    part = F.coalesce(F.size(F.filter("__a", lambda a: a <= F.col("value"))), F.lit(0))
+    d = d.withColumn("__p", part)
+    up = F.col("value") - F.coalesce(F.get("__a", F.greatest(F.col("__p") - 1, F.lit(0))), F.lit(0.0))
+    down = F.get("__a", F.col("__p")) - F.col("value")
+    inside = F.when(down < up, F.lit(1 << 33) - value_bucket(down)).otherwise(value_bucket(up))
+    return d.withColumn("__b", F.col("__p").cast("bigint") * (1 << 34) + inside).filter(F.col("__b").isNotNull()).drop("__a", "__p")
+
+
 def running_totals(counts: DataFrame, by: Sequence[str], sums: Sequence[str]) -> DataFrame:
     """Add ``<c>_before`` (sum over smaller values of the group), ``<c>_total`` and ``next_value``."""
     by = list(by)
-    # one row per group; the branches below read the same counts and share their shuffle
-    finite = F.when(F.abs("value") != float("inf"), F.col("value"))
-    if by:
-        least = counts.groupBy(*by).agg(F.min(finite).alias("__low"))
-        d = counts.join(least, by)
-    else:
-        d = counts.withColumn("__low", counts.agg(F.min(finite).alias("__low")).select("__low").scalar())
-    d = d.withColumn("__b", value_bucket(F.col("value") - F.coalesce("__low", F.lit(0.0)))).filter(F.col("__b").isNotNull()).drop("__low")
+    d = bucketed(counts, by)
     groups = by if by else [F.lit(1)]
     across = W.partitionBy(*groups).orderBy("__b")
     earlier = across.rowsBetween(W.unboundedPreceding, -1)
