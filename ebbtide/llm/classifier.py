@@ -4,7 +4,7 @@ labels train a hashed linear scorer, which decides alone. Two questions are aske
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ebbtide.llm import textstats as ts
 from ebbtide.llm.common import documents, drawn, ship, slices, text_of
@@ -69,13 +70,10 @@ def quality_votes(s: dict[str, np.ndarray]) -> np.ndarray:
     return np.column_stack([np.where(s[k] >= bad, BAD, np.where(s[k] < good, GOOD, NONE)) for k, (bad, good) in SHARES.items()])
 
 
-def stem(names: list[str], n: int) -> list[str]:
-    return [x[:n] if len(x) > n else "" for x in names]
-
-
-def forms(names: list[str]) -> dict[int, list[str]]:
+def forms(names: pa.Array) -> dict[int, pa.Array]:
     """Each word itself (0) and its stems by length; a word that is not longer than the stem has none ('')."""
-    return {0: names} | {n: stem(names, n) for n in STEMS}
+    n = pc.utf8_length(names)
+    return {0: names} | {k: pc.if_else(pc.greater(n, k), pc.utf8_slice_codeunits(names, 0, k), "") for k in STEMS}
 
 
 Markers = dict[int, frozenset[str]]
@@ -84,11 +82,11 @@ Markers = dict[int, frozenset[str]]
 def toxic_votes(words: pa.Array, offsets: np.ndarray, markers: Markers) -> np.ndarray:
     """Each labeller looks for the words of its list or for markers: whole words, stems, any; the last wants two places of the third."""
     number, names = ts.coded(words)
-    known = names.to_pylist()
-    marked = {n: np.array([x in markers.get(n, ()) for x in xs], bool) for n, xs in forms(known).items()}
+    among = lambda xs, known: np.asarray(pc.is_in(xs, value_set=pa.array(sorted(known), pa.string())), dtype=bool)
+    marked = {n: among(xs, markers.get(n, ())) for n, xs in forms(names).items()}
     found = []
-    for listed, kinds in zip(map(frozenset, LISTS), ((0,), STEMS, (0, *STEMS)), strict=True):
-        has = np.array([x in listed for x in known], bool) | np.any([marked[n] for n in kinds], axis=0)
+    for listed, kinds in zip(LISTS, ((0,), STEMS, (0, *STEMS)), strict=True):
+        has = among(names, listed) | np.any([marked[n] for n in kinds], axis=0)
         found.append(ts.per_text(has[number], offsets) if len(number) else np.zeros(len(offsets) - 1, np.int64))
     return np.column_stack([*[np.where(f > 0, BAD, GOOD) for f in found], np.where(found[2] > 1, BAD, np.where(found[2] == 1, NONE, GOOD))])
 
@@ -106,8 +104,8 @@ def find_markers(docs: DataFrame, labels: DataFrame, rows: int = LABEL_ROWS) ->
                 number, names = ts.coded(words)
                 toxic = np.asarray(part.column("toxic")) > 0
                 doc = np.repeat(np.arange(part.num_rows), np.diff(offsets))
-                for n, xs in forms(names.to_pylist()).items():
-                    code, stems = ts.coded(pa.array(xs, pa.string()))
+                for n, xs in forms(names).items():
+                    code, stems = ts.coded(xs)
                     pairs = np.unique(doc * max(len(stems), 1) + code[number])
                     hit = toxic[pairs // max(len(stems), 1)]
                     texts, bad = (np.bincount((pairs % max(len(stems), 1))[m], minlength=len(stems)) for m in (slice(None), hit))
@@ -127,9 +125,9 @@ def hashed(names: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(x) for x in names), np.uint64, len(names))
 
 
-def word_features(names: list[str]) -> np.ndarray:
+def word_features(names: pa.Array) -> np.ndarray:
     """Hashes of each word and of its stems; one row for each word."""
-    return np.column_stack([hashed([f"{n}:{x}" for x in xs]) for n, xs in forms(names).items()])
+    return np.column_stack([ts.hashes(xs, n) for n, xs in forms(names).items()])
 
 
 def shape_features(s: dict[str, np.ndarray]) -> np.ndarray:
@@ -240,7 +238,7 @@ class Model:
             def place(h: np.ndarray) -> np.ndarray:
                 at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
                 return np.where(self.hashes[at] == h, at, -1)
-            at = place(word_features(names.to_pylist()).ravel()).reshape(-1, 1 + len(STEMS))
+            at = place(word_features(names).ravel()).reshape(-1, 1 + len(STEMS))
             doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
             pairs = np.unique(np.concatenate([doc[hit] * len(self.hashes) + at[number[hit], j] for j in range(1 + len(STEMS)) for hit in [np.flatnonzero(at[number, j] >= 0)]]))
             doc, column = pairs // len(self.hashes), pairs % len(self.hashes)
@@ -277,8 +275,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         none = Reliability(0.5, np.full((1, 2, 3), 1 / 3))
         return Model(np.zeros(0, np.uint64), np.zeros((2, 0)), np.array([-1.0, -1.0]), none, none)
     quality, toxic = estimate(*_patterns(found, "q")), estimate(*_patterns(found, "t"))
-    total = sum(r["n"] for r in found)
-    share = int(min(1.0, rows / total) * (1 << 30))
+    different = docs.agg(F.approx_count_distinct(F.xxhash64(text_of()), 0.02)).first()[0]
+    share = int(min(1.0, rows / max(different, 1)) * (1 << 30))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,7 +285,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
                 s = shares(texts)
                 words, offsets = letter_words(texts)
                 number, names = ts.coded(words)
-                h, shape = word_features(names.to_pylist()), shape_features(s)
+                h, shape = word_features(names), shape_features(s)
                 sets = [np.concatenate([np.unique(h[number[a:b]].ravel()), r]).tobytes() for a, b, r in zip(offsets[:-1], offsets[1:], shape, strict=True)]
                 p = [quality.posterior(quality_votes(s)), toxic.posterior(toxic_votes(words, offsets, markers))]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, p), pa.array(sets, pa.binary())], ["q", "t", "features"])
@@ -307,24 +305,25 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 ADDED = ["p_low", "p_toxic", "kept"]
 
 
-def classify(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """All rows and columns with p_low, p_toxic and kept (both below the threshold) added; columns of these names are replaced.
+def classify(docs: DataFrame, model: Model, threshold: float = 0.5, added: Sequence[str] = ADDED) -> DataFrame:
+    """All rows and columns with p_low, p_toxic and kept (both below the threshold) added under the names ``added``; columns of these names
+    are replaced.
 
     Null text: judged as an empty one. Null and repeated doc_ids keep their rows; an empty table gives no rows. No shuffle.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     ship(docs.sparkSession)
-    own = [c for c in docs.columns if c not in ADDED]
+    own = [c for c in docs.columns if c not in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", BATCH_BYTES):
                 low, toxic = sent.value.probabilities(part.column("text").fill_null(""))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(low), pa.array(toxic), pa.array((low < threshold) & (toxic < threshold))], [*part.schema.names, *ADDED])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(low), pa.array(toxic), pa.array((low < threshold) & (toxic < threshold))], [*part.schema.names, *added])
 
     kept = docs.select(*own)
-    schema = kept.schema.add("p_low", "double").add("p_toxic", "double").add("kept", "boolean")
-    return docs.select(*own).mapInArrow(run, schema)
+    schema = T.StructType([*kept.schema.fields, *(T.StructField(n, k) for n, k in zip(added, (T.DoubleType(), T.DoubleType(), T.BooleanType()), strict=True))])
+    return kept.mapInArrow(run, schema)
 
 
 def op8_weak_label_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,8 +28,9 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def per_text(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How many places of each text are set."""
-    upto = np.concatenate(([0], np.cumsum(mask, dtype=np.int64)))
-    return upto[offsets[1:]] - upto[offsets[:-1]]
+    upto = np.zeros(len(mask) + 1, np.int32 if len(mask) < 1 << 31 else np.int64)
+    np.cumsum(mask, out=upto[1:])
+    return (upto[offsets[1:]] - upto[offsets[:-1]]).astype(np.int64)
 
 
 def count_class(texts: pa.Array, table: np.ndarray) -> np.ndarray:
@@ -69,6 +70,18 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def hashes(values: pa.Array, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each string (no nulls): a polynomial of its bytes, mixed with its length and the seed."""
+    data, offsets = raw(values)
+    n = np.diff(offsets)
+    powers = np.full(int(n.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64)
+    powers[0] = 1
+    np.multiply.accumulate(powers, out=powers)
+    upto = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[np.arange(len(data)) - np.repeat(offsets[:-1], n)], out=upto[1:])
+    return _mixed(_mixed(upto[offsets[1:]] - upto[offsets[:-1]]) + n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed))
+
+
 def repeated_words(words: np.ndarray, offsets: np.ndarray, size: int = 8) -> np.ndarray:
     """For each text, its words in windows of size words that it has twice or more (the first included).
 

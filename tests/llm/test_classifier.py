@@ -57,6 +57,6 @@ def test_documents(spark):
 
 
 def test_scorer_ignores_order_and_repeats():
-    m = c.Model(np.sort(c.hashed(["0:scum"])), np.array([[0.0], [4.0]]), np.array([-2.0, -3.0]), None, None)
+    m = c.Model(c.word_features(pa.array(["scum"]))[0, :1], np.array([[0.0], [4.0]]), np.array([-2.0, -3.0]), None, None)
     low, toxic = m.probabilities(pa.array(["a scum b", "b SCUM. a scum", "", "a b"]))
     assert toxic[0] == toxic[1] > 0.5 > toxic[2] and toxic[2] == toxic[3] and np.allclose(low, 1 / (1 + np.exp(2.0)))
