@@ -60,6 +60,17 @@ def alarm_performance(panel: DataFrame, alarm: Column | str, ks: Sequence[int] =
         .alias("median_lead"))
 
 
+def cuts_reached(p: Column, cuts: Sequence[float]) -> Column:
+    """How many of the cuts (in ascending order) a value reaches, by halving: seven comparisons for 95 cuts."""
+    def among(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(p >= F.lit(float(cuts[mid])), among(mid + 1, high)).otherwise(among(low, mid))
+
+    return among(0, len(cuts))
+
+
 def threshold_curve(panel: DataFrame, p: str = "p", cuts: Sequence[float] = CUTS, ks: Sequence[int] = KS,
                     hist: int = 12, client: str = "client") -> DataFrame:
     """``alarm_performance`` plus precision, recall, false-alarm rate and J on training rows at every cut.
@@ -69,7 +80,7 @@ def threshold_curve(panel: DataFrame, p: str = "p", cuts: Sequence[float] = CUTS
     at least k when the running minimum over k reaches the cut, so leads come from the same counts.
     """
     spark = panel.sparkSession
-    level = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: F.col("__p") >= c))
+    level = cuts_reached(F.col("__p"), cuts)
     w = W.partitionBy(client).orderBy("k")
     d = (panel.select(client, "k", "cancelled", "scorable", "train", "y",
                       F.when(F.col("scorable"), F.col(p)).alias("__p"), F.col(p).alias("__praw"))

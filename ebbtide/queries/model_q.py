@@ -107,6 +107,17 @@ def standard(spark, sf):
     return d.select("feature", rd("mean"), rd("deviation"))
 
 
+@query("selection_rank_gram", f"""WITH {LONG_SQL}, r AS (SELECT client, m, feature, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1)/2.0::DOUBLE AS rk FROM im)
+  SELECT a.feature AS a, b.feature AS b, {rs('corr(a.rk, b.rk)', 4)} AS rho FROM r a JOIN r b ON a.client = b.client AND a.m = b.m AND a.feature < b.feature GROUP BY 1, 2""")
+def rank_gram(spark, sf):
+    rows = train_rows(spark, sf)
+    med = {r["feature"]: r["median"] for r in se.cell_medians(cells(spark, sf)).collect()}
+    names = sorted(COLS)
+    rho = se.rank_correlation(rows, names, med)
+    pairs = [(a, b, float(rho[i, j])) for i, a in enumerate(names) for j, b in enumerate(names) if i < j]
+    return spark.createDataFrame(pairs, "a string, b string, rho double").select("a", "b", rd("rho", 4))
+
+
 # ---------------------------------------------------------------- fits (rows only)
 def panel(spark, sf):
     return st.materialize(e_features(spark, sf))

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import explain as xp
 from ..operators import explore as ex
+from ..operators import features as ft
 from ..operators import metrics as mt
+from ..operators import outputs as ou
 from ..operators import queue as qu
 from ..operators import reports as rp
 from ..operators import stats as st
@@ -318,4 +320,29 @@ def top_features(spark, sf):
     return rp.top_features(w)
 
 
+# ---------------------------------------------------------------- what a run leaves behind
+def run_rows(spark, sf):
+    """The series behind two features of the events table, next to the risk of every month with data."""
+    dated = {"events": e_rows(spark, sf)}
+    names = ft.Names.of({"events": ["value"]})
+    series = ou.model_series([names.feature("events", "value", "level", window=3), names.feature("events", ou.ROWS, "last")], dated)
+    return ou.with_values(e_scored(spark, sf), ou.series_values(series, dated), "p"), series
+
+
+@query("run_history", f"""WITH {E_FEAT_SQL} SELECT client, count(*) AS months, count(p) AS scored, min(m) AS first_m, max(m) AS last_m, sum(n)::DOUBLE AS events, {rs('sum(round(p, 4))')} AS risk FROM e_risk WHERE has_data GROUP BY 1""")
+def run_history(spark, sf):
+    rows, series = run_rows(spark, sf)
+    d = ou.history(rows, series, "p").select("client", F.explode("history").alias("h"))
+    return d.groupBy("client").agg(F.count(F.lit(1)).alias("months"), F.count("h.risk").alias("scored"), F.min("h.m").alias("first_m"), F.max("h.m").alias("last_m"),
+                                   F.sum(F.col("h.values")["events.registros"]).alias("events"), rd(F.sum("h.risk"), alias="risk"))
+
+
+@query("run_comparisons", f"""WITH {E_FEAT_SQL}, v AS (SELECT client, m, unnest(['value', 'events.registros']) AS series, unnest([value, n::DOUBLE]) AS x FROM e_risk WHERE has_data),
+  o AS (SELECT *, row_number() OVER (PARTITION BY client, series ORDER BY m DESC) AS rn FROM v WHERE x IS NOT NULL)
+  SELECT client, series, {rs('avg(x) FILTER (WHERE rn <= 3)')} AS recent, {rs('avg(x) FILTER (WHERE rn BETWEEN 4 AND 9)')} AS previous, count(*) FILTER (WHERE rn <= 3) AS months_recent, count(*) FILTER (WHERE rn BETWEEN 4 AND 9) AS months_previous
+  FROM o GROUP BY 1, 2 HAVING count(*) > 3""")
+def run_comparisons(spark, sf):
+    return ou.comparisons(*run_rows(spark, sf)).select("client", "series", rd("recent"), rd("previous"), "months_recent", "months_previous")
+
+
 __all__ = ["E_REF", "st"]

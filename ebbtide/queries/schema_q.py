@@ -49,6 +49,16 @@ def delimited(spark, sf):
     return rd_.read_tables(spark, path).tables["orders"]
 
 
+@query("source_quoted_text", """SELECT o_orderkey::DOUBLE AS code, strftime(o_orderdate, '%d/%m/%Y') || chr(10) || 'said "' || o_orderpriority || '", then; left' AS note, o_orderstatus AS code_2 FROM orders""")
+def quoted(spark, sf):
+    """Line breaks, quotes and separators inside cells and a repeated header, written as text and read in pieces."""
+    path = f"{scratch(spark)}/notes.csv"
+    said = F.concat(F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit('\nsaid "'), "o_orderpriority", F.lit('", then; left'))
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("code"), said.alias("note"), F.col("o_orderstatus").alias("code "))
+    rows.write.csv(path, header=True, sep=";", quoteAll=True, escape='"', ignoreTrailingWhiteSpace=False)
+    return rd_.read_tables(spark, path).tables["notes"]
+
+
 @query("source_typed_scan", """SELECT o_custkey, count(*) AS n, round(max(o_totalprice), 2) AS top FROM orders GROUP BY 1""")
 def typed(spark, sf):
     from pyspark.sql.types import DoubleType, LongType, StructField, StructType

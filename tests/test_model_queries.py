@@ -1,5 +1,8 @@
+import numpy as np
+import pytest
+
 from ebbtide.config import Config
-from ebbtide.queries import model_q
+from ebbtide.queries import QUERIES, model_q
 
 
 def test_registered_model_queries_use_the_whole_configuration(monkeypatch):
@@ -12,3 +15,20 @@ def test_registered_model_queries_use_the_whole_configuration(monkeypatch):
     model_q.stability(None, None)
     model_q.shadows(None, None)
     assert model_q.CFG == Config() and seen == [(12, Config())] * 2
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_boosted_trees_query_runs_as_configured(spark):
+    rows = QUERIES["model_boosted_trees"](spark, SF).toPandas()
+    assert len(rows) and rows["p"].between(0, 1).all()
+    assert (1 / (1 + np.exp(-rows["logit"]))).to_numpy() == pytest.approx(rows["p"].to_numpy())
+
+
+def test_validation_scores_each_client_by_a_fold_without_it(spark):
+    rows = QUERIES["validation_nested_oof"](spark, SF).toPandas()
+    scorable = model_q.panel(spark, SF).filter("scorable").count()
+    assert rows["p"].notna().sum() == scorable and rows["base_score"].notna().sum() == scorable
+    folds = rows.groupby("client")["fold"].nunique()
+    assert (folds == 1).all() and rows["fold"].nunique() == Config().folds
