@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ebbtide.llm import textstats as ts
 from ebbtide.llm.common import saved, slices, text_of
@@ -61,7 +62,7 @@ def signatures(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def with_signatures(docs: DataFrame, size: int) -> DataFrame:
-    """All columns, and _fp (name of the shingle set), _bands, _sketch."""
+    """All columns, and _row (a number of the row's own), _fp (name of the shingle set), _bands, _sketch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", BATCH_BYTES):
@@ -69,8 +70,8 @@ def with_signatures(docs: DataFrame, size: int) -> DataFrame:
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * BANDS), pa.array(key.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(name.view(np.int64)), keys, pa.array([x.tobytes() for x in sketch], pa.binary())], [*part.schema.names, "_fp", "_bands", "_sketch"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, _fp long, _bands array<long>, _sketch binary")
+    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType()), T.StructField("_bands", T.ArrayType(T.LongType())), T.StructField("_sketch", T.BinaryType())])
+    return docs.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id())
 
 
 def stars(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
@@ -138,15 +139,18 @@ def groups(marked: DataFrame, size: int, least: float) -> DataFrame:
     """_fp, root of every distinct shingle set: sets with a Jaccard similarity of at least least that share a band are linked, and those linked
     directly or over others share the root.
 
-    Equal sets are one node. Texts reach the exact check where the sketch has a neighbour only, once each; a task holds the shingles of one
-    group of such neighbours.
+    ``marked`` are written rows (their _row doesn't change). Equal sets are one node, whose text is read from one of their rows, found by its
+    number: a large group of copies moves no texts. Texts reach the exact check where the sketch has a neighbour only, once each; a task holds
+    the shingles of one group of such neighbours.
     """
-    one = saved(marked.select("_fp", "_bands", "_sketch").dropDuplicates(["_fp"]), "sketches")
+    named = marked.groupBy("_fp").agg(F.min("_row").alias("_row"))
+    one = saved(marked.join(named.select("_row"), "_row").select("_fp", "_row", "_bands", "_sketch"), "sketches")
     order = Window.partitionBy("v", "key").orderBy("_fp")
     bands = one.select("_fp", F.posexplode("_bands").alias("v", "key"))
     met = bands.withColumn("met", F.lag("_fp").over(order).isNotNull() | F.lead("_fp").over(order).isNotNull()).where("met").select("v", "key", "_fp")
     close = _links(met.join(one.select("_fp", "_sketch"), "_fp"), ["v", "key"], "_sketch", lambda x: sketch_links(x, least))
     known = components(close, "candidates").select(F.col("node").alias("_fp"), F.col("root").alias("near"))
-    texts = marked.join(known, "_fp").select("_fp", "near", text_of().alias("text")).groupBy("near", "_fp").agg(F.first("text").alias("text"))
+    asked = one.select("_fp", "_row").join(known, "_fp")
+    texts = marked.select("_row", text_of().alias("text")).join(asked, "_row").select("_fp", "near", "text")
     linked = components(_links(texts, ["near"], "text", lambda x: exact_links(x, size, least)), "alike")
     return one.select("_fp").join(linked.withColumnRenamed("node", "_fp"), "_fp", "left").select("_fp", F.coalesce("root", "_fp").alias("root"))

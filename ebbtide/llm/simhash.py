@@ -153,10 +153,13 @@ def one_of_each(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame
     at least least, directly or over others. The one with the least (doc_id, name of its shingle set) stays, of repeated rows any one; a null
     doc_id counts as larger than all others.
 
-    Null text: no shingles; texts without any are copies of each other. The survivors' keys are different, so the join with the texts has no hot key.
+    Null text: no shingles; texts without any are copies of each other. Texts of any length are compared as a whole. Columns of any name pass through
+    unchanged. The survivors' keys are different, so the join with the texts has no hot key.
     """
     ship(docs.sparkSession)
-    own = docs.columns
+    given = docs.columns
+    own = [c if c in ("doc_id", "text") else f"own{i}" for i, c in enumerate(given)]
+    docs = docs.toDF(*own)
     marked = saved(shingles.with_signatures(docs, size), "marked")
     prints = marked.select("doc_id", "_fp")
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_fp")
@@ -168,7 +171,7 @@ def one_of_each(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame
         same.where("n > 1").select(F.col("doc_id").alias("_id2"), F.col("_fp").alias("_fp2"), "n"), F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_fp") == F.col("_fp2")), "left").select("_id", "_fp", F.coalesce("n", F.lit(1)).alias("_n"))
     found = marked.select(*own, "_fp").join(stay.withColumnRenamed("_fp", "_fp2"), (F.col("_fp") == F.col("_fp2")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     once, more = found.where("_n = 1").select(*own), found.where("_n > 1").dropDuplicates(["_fp2", "_id"]).select(*own)
-    return once.unionByName(more)
+    return once.unionByName(more).toDF(*given)
 
 
 def op6_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

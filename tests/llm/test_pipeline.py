@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
@@ -45,7 +46,8 @@ def tables(spark, where):
     return rows, fate
 
 
-def test_each_stage_takes_effect(spark, tmp_path):
+def test_each_stage_takes_effect(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("EBBTIDE_PII_KEY", "one key for both runs")
     rows, fate = tables(spark, tmp_path)
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     columns, seen = docs.columns, {}
@@ -100,3 +102,31 @@ def test_near_duplicate_stage_reaches_a_similarity_of_four_fifths(spark):
     assert len(near) > 100 and len(far) > 100
     left = {x["doc_id"] for x in one_of_each(spark.createDataFrame(rows, "doc_id long, text string, x string")).collect()}
     assert {3 * i for i in range(120)} <= left and len(left & set(near)) <= 0.02 * len(near) and len(set(far) - left) <= 0.02 * len(far)
+
+
+def test_stages_keep_columns_with_clashing_names(spark, tmp_path):
+    import corpus_pipeline as cp
+    from ebbtide.llm import classifier, simhash
+    text = "the quick brown fox jumps over the lazy dog near the river bank while children play in the sun"
+    rows = [(i, text if i < 3 else f"{text} {i} other words follow number {i} here", False, 9.0, i, [i], b"x", i) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept boolean, p_low double, _fp long, _bands array<long>, _sketch binary, _row long")
+    once = simhash.one_of_each(docs)
+    assert once.columns == docs.columns and all(r["_fp"] == r["doc_id"] == r["_row"] and r["kept"] is False for r in once.collect())
+    assert once.where("doc_id IN (1, 2)").count() == 0
+    model = classifier.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    added = ["a b", "c", "d"]
+    got = classifier.classify(docs, model, added=added)
+    assert got.columns == [*docs.columns, *added] and got.where("p_low = 9.0 AND NOT kept").count() == 8
+    labels = tmp_path / "labels.parquet"
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(labels))
+    out = cp.quality(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and out.where("p_low <> 9.0 OR kept").count() == 0 and out.count() > 0
+
+
+def test_runs_without_a_key_draw_their_own(spark, monkeypatch):
+    monkeypatch.delenv("EBBTIDE_PII_KEY", raising=False)
+    docs = spark.createDataFrame([(1, "card 4111 1111 1111 1111 and 10.1.2.3"), (2, "again 10.1.2.3")], "doc_id long, text string").selectExpr("*", "'en' lang", "'s' source", "length(text) n_chars")
+    with pytest.warns(UserWarning, match="EBBTIDE_PII_KEY"):
+        a, b = ({r["doc_id"]: r["text"] for r in cp.pseudonymised(spark, docs, "").collect()} for _ in range(2))
+    assert a != b and "10.1.2.3" not in a[1] + b[1]
+    assert a[1].split()[-1] == a[2].split()[-1]
