@@ -167,10 +167,16 @@ query("model_random_forest")(scored_by("random_forest"))
 query("model_boosted_trees")(scored_by("boosted_trees"))
 
 
+def rounded_margin(p, step=1e-4):
+    """Log-odds of a probability rounded to whole steps; 0 and 1 stand for a quarter step from the end, the middle of what is rounded to them."""
+    inside = F.least(F.greatest(p, F.lit(step / 4)), F.lit(1 - step / 4))
+    return F.log(inside / (1 - inside))
+
+
 @query("model_platt")
 def platt(spark, sf):
     d = e_scored(spark, sf).filter("train")
-    a, b = mo.platt(d.select("y", F.log(F.col("p") / (1 - F.col("p"))).alias("margin")))
+    a, b = mo.platt(d.select("y", rounded_margin(F.col("p")).alias("margin")))
     return spark.createDataFrame([(a, b)], "a double, b double")
 
 

@@ -17,6 +17,16 @@ def test_registered_model_queries_use_the_whole_configuration(monkeypatch):
     assert model_q.CFG == Config() and seen == [(12, Config())] * 2
 
 
+def test_platt_takes_probabilities_rounded_to_zero_and_one(spark, monkeypatch):
+    rows = [(i, 0.0 if i % 4 == 0 else 1.0 if i % 4 == 1 else 0.3 + 0.4 * (i % 4 == 3), int(i % 8 in (1, 3, 5, 6)), True) for i in range(400)]
+    monkeypatch.setattr(model_q, "e_scored", lambda spark, sf: spark.createDataFrame(rows, "client long, p double, y int, train boolean"))
+    (a, b), = QUERIES["model_platt"](spark, "").collect()
+    assert 0.01 < a < 5 and np.isfinite(b)
+    far = np.log(2.5e-5 / (1 - 2.5e-5))
+    got = [r[0] for r in spark.createDataFrame([(0.0,), (1.0,), (0.5,), (0.0001,)], "p double").select(model_q.rounded_margin(model_q.F.col("p"))).collect()]
+    assert got == pytest.approx([far, -far, 0.0, np.log(1e-4 / (1 - 1e-4))])
+
+
 SF = "/root/testdata/sf0.001"
 
 
