@@ -61,16 +61,18 @@ def signatures(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.n
     return name, key, low.astype(np.uint8)
 
 
-def with_signatures(docs: DataFrame, size: int) -> DataFrame:
-    """All columns, and _row (a number of the row's own), _fp (name of the shingle set), _bands, _sketch."""
+def with_signatures(docs: DataFrame, size: int, prints: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """All columns, and _row (a number of the row's own), _fp (name of the shingle set), _bands, _sketch and _sim, what ``prints`` makes of the texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", BATCH_BYTES):
-                name, key, sketch = signatures(part.column("text").fill_null(""), size)
+                texts = part.column("text").fill_null("")
+                name, key, sketch = signatures(texts, size)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * BANDS), pa.array(key.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(name.view(np.int64)), keys, pa.array([x.tobytes() for x in sketch], pa.binary())], [*part.schema.names, "_fp", "_bands", "_sketch"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(name.view(np.int64)), keys, pa.array([x.tobytes() for x in sketch], pa.binary()),
+                                                  pa.array(prints(texts).view(np.int64))], [*part.schema.names, "_fp", "_bands", "_sketch", "_sim"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType()), T.StructField("_bands", T.ArrayType(T.LongType())), T.StructField("_sketch", T.BinaryType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType()), T.StructField("_bands", T.ArrayType(T.LongType())), T.StructField("_sketch", T.BinaryType()), T.StructField("_sim", T.LongType())])
     return docs.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id())
 
 

@@ -148,10 +148,23 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFram
     return prints.join(by_print, "_fp").select("doc_id", F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
-    """The documents, all columns, less all but one of each group of near copies: documents whose word shingles have a Jaccard similarity of
-    at least least, directly or over others. The one with the least (doc_id, name of its shingle set) stays, of repeated rows any one; a null
-    doc_id counts as larger than all others.
+def alike(marked: DataFrame, size: int, least: float, radius: int) -> DataFrame:
+    """_fp, root of every distinct shingle set: sets of texts whose fingerprints (_sim) are linked within the radius, as in ``near_duplicates``, and
+    sets with a Jaccard similarity of at least least are linked; those linked directly or over others share the root."""
+    owners = saved(marked.select("_fp", "_sim").distinct(), "owners")
+    prints = groups(owners.select(F.col("_sim").alias("_fp")), radius).withColumnsRenamed({"_fp": "_sim", "root": "sim_root"})
+    owned = owners.join(prints, "_sim").select("_fp", "sim_root").distinct()
+    first = owned.groupBy("sim_root").agg(F.min("_fp").alias("b"))
+    by_print = owned.join(first, "sim_root").select(F.col("_fp").alias("a"), "b").where("a <> b")
+    by_shingles = saved(shingles.groups(marked, size, least), "alike-shingles")
+    known = components(by_print.union(by_shingles.where("_fp <> root").select("_fp", "root")), "alike-all").withColumnsRenamed({"node": "_fp", "root": "top"})
+    return by_shingles.select("_fp").join(known, "_fp", "left").select("_fp", F.coalesce("top", "_fp").alias("root"))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, least: float = 0.8, print_size: int = 4, radius: int = 4) -> DataFrame:
+    """The documents, all columns, less all but one of each group of near copies: documents whose fingerprints differ in at most radius bits (the
+    covering search of ``near_duplicates``) or whose word shingles have a Jaccard similarity of at least least, directly or over others. The one
+    with the least (doc_id, name of its shingle set) stays, of repeated rows any one; a null doc_id counts as larger than all others.
 
     Null text: no shingles; texts without any are copies of each other. Texts of any length are compared as a whole. Columns of any name pass through
     unchanged. The survivors' keys are different, so the join with the texts has no hot key.
@@ -160,10 +173,10 @@ def one_of_each(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame
     given = docs.columns
     own = [c if c in ("doc_id", "text") else f"own{i}" for i, c in enumerate(given)]
     docs = docs.toDF(*own)
-    marked = saved(shingles.with_signatures(docs, size), "marked")
+    marked = saved(shingles.with_signatures(docs, size, lambda texts: fingerprints(texts, print_size)), "marked")
     prints = marked.select("doc_id", "_fp")
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_fp")
-    rooted = saved(shingles.groups(marked, size, least), "alike-groups")
+    rooted = saved(alike(marked, size, least, radius), "alike-groups")
     first = prints.groupBy("_fp").agg(F.min(key).alias("key"))
     winners = first.join(rooted, "_fp").groupBy("root").agg(F.min("key").alias("key"))
     same = prints.groupBy("doc_id", "_fp").agg(F.count("*").alias("n"))

@@ -130,3 +130,23 @@ def test_runs_without_a_key_draw_their_own(spark, monkeypatch):
         a, b = ({r["doc_id"]: r["text"] for r in cp.pseudonymised(spark, docs, "").collect()} for _ in range(2))
     assert a != b and "10.1.2.3" not in a[1] + b[1]
     assert a[1].split()[-1] == a[2].split()[-1]
+
+
+def test_near_duplicate_stage_follows_fingerprints_and_shingles(spark):
+    """A fingerprint counts repeats, a shingle set doesn't: b is a near copy of a by the first alone, c one of b by the second alone."""
+    import pyarrow as pa
+    r = random.Random(8)
+    phrase = [f"w{i}" for i in range(12)]
+    tail = [f"t{i}" for i in range(5)]
+    a, b = " ".join(phrase * 60), " ".join(phrase * 60 + tail)
+    c = " ".join(phrase[:5] * 20 + phrase * 2 + tail)
+    other = [" ".join(f"v{r.randrange(900)}" for _ in range(60)) for _ in range(20)]
+    prints = [int(x) for x in fingerprints(pa.array([a, b, c]))]
+    words = [t.split() for t in (a, b, c)]
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in words]
+    same = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    assert (prints[0] ^ prints[1]).bit_count() <= 4 and same(0, 1) < 0.8
+    assert (prints[1] ^ prints[2]).bit_count() > 4 and (prints[0] ^ prints[2]).bit_count() > 4 and same(1, 2) >= 0.8 and same(0, 2) < 0.8
+    rows = [(1, a), (2, b), (3, c), *[(10 + i, t) for i, t in enumerate(other)]]
+    left = {x["doc_id"] for x in one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == {1, *range(10, 30)}
