@@ -26,6 +26,7 @@ from ebbtide.llm.common import documents, ship, slices, text_of
 BATCH_BYTES = 2 << 20
 WINDOW, MASK = 16, (1 << 10) - 1     # cuts about every 1024 bytes
 KEPT_WORDS, KEPT_BYTES = 250_000, 16 << 20
+APART, TOGETHER = "\x01", 128         # between words that go to the library in one text, and how many do
 _DRAWN = np.random.default_rng(16).integers(1, 1 << 32, 256, np.uint32)
 _FACTOR = np.uint32(0x9E3779B1)
 _BLANK = b" \t\n\r\x0b\x0c"
@@ -48,7 +49,7 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """The tokenizer of one worker, the words it has encoded and the chunks: both bounded, emptied when full."""
+    """The tokenizer of one worker, the words it has encoded (the latest, and those before them) and the chunks: all bounded."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -61,7 +62,10 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.names = {i: x.encode() for x, i in self.library.get_vocab().items()}
+        self.apart = self.library.encode(APART, add_special_tokens=False).ids
         self.words: dict[bytes, tuple[bytes, bytes]] = {}
+        self.before: dict[bytes, tuple[bytes, bytes]] = {}
         self.chunks: dict[bytes, tuple[bytes, bytes, bytes, bytes, bytes, bytes]] = {}
         self.held = self.encoded_chunks = self.disagreed = 0
 
@@ -71,22 +75,41 @@ class Encoder:
         self.held = 0
 
     def _packed(self, ids: list[int]) -> tuple[bytes, bytes]:
-        return np.asarray(ids, "<u4").tobytes(), " ".join(map(self.library.id_to_token, ids)).encode()
+        return np.asarray(ids, "<u4").tobytes(), b" ".join([self.names[i] for i in ids])
+
+    def _each(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """_packed of each word. TOGETHER words are one text with APART between them; where one of them makes APART's token too, each is encoded alone."""
+        groups = [words[at:at + TOGETHER] for at in range(0, len(words), TOGETHER)]
+        texts = [f" {APART} ".join([w.decode() for w in g]) for g in groups]
+        for group, e in zip(groups, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = e.ids
+            packed = np.asarray(ids, "<u4")
+            ends = np.flatnonzero(packed == self.apart[0]).tolist() if len(self.apart) == 1 else []
+            if len(ends) != len(group) - 1:
+                yield from (self._packed(x.ids) for x in self.library.encode_batch_fast([w.decode() for w in group], add_special_tokens=False))
+                continue
+            raw, said, a = packed.tobytes(), [self.names[i] for i in ids], 0
+            for b in [*ends, len(ids)]:
+                yield raw[4 * a:4 * b], b" ".join(said[a:b])
+                a = b + 1
 
     def _learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > KEPT_WORDS:
-            self.words.clear()
-            new = list(words)
+        """Words of the last fill are taken over, not encoded anew."""
+        new = words.difference(self.words)
+        kept = {w: self.before[w] for w in new if w in self.before}
+        if self.words and len(self.words) + len(new) > KEPT_WORDS:
+            kept |= {w: self.words[w] for w in words if w in self.words}
+            self.before, self.words = self.words, {}
+        self.words.update(kept)
+        new = list(new.difference(kept))
         for at in range(0, len(new), 4096):
             part = new[at:at + 4096]
-            got = self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.words.update((w, self._packed(e.ids)) for w, e in zip(part, got, strict=True))
+            self.words.update(zip(part, self._each(part), strict=True))
 
     def _chunk(self, parts: list[bytes], head: bytes, tail: bytes) -> tuple:
         """head, ids, decoded, tail (head and tail: words that may go on outside), first and last word between them."""
         mid = parts[bool(head):len(parts) - bool(tail)]
-        found = [self.words[w] for w in mid]
+        found = list(map(self.words.__getitem__, mid))
         return (head, b"".join([f[0] for f in found]), b" ".join([f[1] for f in found if f[1]]), tail, mid[0] if mid else b"", mid[-1] if mid else b"")
 
     def texts(self, texts: list[list[bytes]]) -> list[tuple[bytes, bytes]]:
@@ -100,7 +123,7 @@ class Encoder:
             head = parts[0] if parts and chunk[0] not in _BLANK else b""
             tail = parts[-1] if parts and chunk[-1] not in _BLANK else b""
             fresh[chunk] = (parts, head, tail)
-        inner = {w for parts, _, _ in fresh.values() for w in parts}
+        inner = set().union(*(parts for parts, _, _ in fresh.values()))
         walks = []
         for t in texts:   # the words over the joins, with the chunks' words beside them
             pending, last, walk = b"", b"", []

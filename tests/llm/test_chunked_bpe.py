@@ -83,3 +83,39 @@ def test_documents(spark):
         out.append((i, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(said.encode()).hexdigest()))
     assert got == sorted(out, key=repr)
     assert cb.encode(docs.limit(0)).collect() == []
+
+
+class Counted:
+    """The library, and how many words and texts it was asked for."""
+
+    def __init__(self, library):
+        self.library, self.words, self.texts = library, 0, 0
+
+    def __getattr__(self, name):
+        return getattr(self.library, name)
+
+    def encode_batch_fast(self, texts, **how):
+        self.texts += len(texts)
+        self.words += sum(w != cb.APART for x in texts for w in x.split(" "))
+        return self.library.encode_batch_fast(texts, **how)
+
+
+def test_words_of_the_last_fill_are_not_encoded_again(monkeypatch):
+    monkeypatch.setattr(cb, "KEPT_WORDS", 100)
+    enc = cb.Encoder(PATH)
+    enc.library = Counted(enc.library)
+    first, then = ({f"{x}word{i}".encode() for i in range(60)} for x in "ab")
+    for words in (first, then, first, then):
+        enc._learn(words)
+        assert all(enc.words[w][0] == want(enc.library, w.decode())[0] for w in words) and len(enc.words) <= 100
+    assert enc.library.words == 120 and enc.library.texts <= 4
+
+
+def test_words_with_the_separator_are_encoded_alone():
+    t, enc = library(), cb.Encoder(PATH)
+    odd = ["\x01", "a\x01b", "\x01\x01", "x\x01", "<|endoftext|>", "don't", "\x85", "\u3000", "e\u0301", "\u0301", "Z!"]
+    words = [w.encode() for w in [*odd, *(f"w{i}" for i in range(300))]]
+    assert len(enc.apart) == 1
+    assert [(a, b.decode()) for a, b in enc._each(words)] == [want(t, w.decode()) for w in words]
+    plain = words[11:] + ["\x85".encode(), "\u3000".encode(), "\u0301".encode(), b"Z!"]
+    assert [(a, b.decode()) for a, b in enc._each(plain)] == [want(t, w.decode()) for w in plain]
