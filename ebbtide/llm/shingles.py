@@ -115,14 +115,14 @@ def exact_links(texts: list[str], size: int, least: float) -> list[tuple[int, in
     return stars(len(held), near)
 
 
-def _links(rows: DataFrame, keys: list[str], column: str, links: Callable[[list], list[tuple[int, int]]]) -> DataFrame:
-    """a, b: links(values of column) inside each group of rows with equal keys, by _fp."""
+def _links(rows: DataFrame, keys: list[str], column: str, linked: Callable[[list], list[tuple[int, int]]]) -> DataFrame:
+    """a, b: linked(values of column) inside each group of rows with equal keys, by _fp."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         owner: tuple | None = None
 
         def out() -> Iterator[pa.RecordBatch]:
-            found = links([x for _, x in held]) if len(held) > 1 else []
+            found = linked([x for _, x in held]) if len(held) > 1 else []
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([held[i][0] for i, _ in found], pa.int64()), pa.array([held[i][0] for _, i in found], pa.int64())], ["a", "b"])
 
@@ -137,9 +137,8 @@ def _links(rows: DataFrame, keys: list[str], column: str, links: Callable[[list]
     return rows.select(*keys, "_fp", column).repartition(*keys).sortWithinPartitions(*keys, "_fp").mapInArrow(run, "a long, b long")
 
 
-def groups(marked: DataFrame, size: int, least: float) -> DataFrame:
-    """_fp, root of every distinct shingle set: sets with a Jaccard similarity of at least least that share a band are linked, and those linked
-    directly or over others share the root.
+def links(marked: DataFrame, size: int, least: float) -> DataFrame:
+    """Links a, b between names of shingle sets (_fp) that connect what all pairs with a Jaccard similarity of at least least that share a band connect.
 
     ``marked`` are written rows (their _row doesn't change). Equal sets are one node, whose text is read from one of their rows, found by its
     number: a large group of copies moves no texts. Texts reach the exact check where the sketch has a neighbour only, once each; a task holds
@@ -154,5 +153,4 @@ def groups(marked: DataFrame, size: int, least: float) -> DataFrame:
     known = components(close, "candidates").select(F.col("node").alias("_fp"), F.col("root").alias("near"))
     asked = one.select("_fp", "_row").join(known, "_fp")
     texts = marked.select("_row", text_of().alias("text")).join(asked, "_row").select("_fp", "near", "text")
-    linked = components(_links(texts, ["near"], "text", lambda x: exact_links(x, size, least)), "alike")
-    return one.select("_fp").join(linked.withColumnRenamed("node", "_fp"), "_fp", "left").select("_fp", F.coalesce("root", "_fp").alias("root"))
+    return _links(texts, ["near"], "text", lambda x: exact_links(x, size, least))

@@ -150,15 +150,15 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFram
 
 def alike(marked: DataFrame, size: int, least: float, radius: int) -> DataFrame:
     """_fp, root of every distinct shingle set: sets of texts whose fingerprints (_sim) are linked within the radius, as in ``near_duplicates``, and
-    sets with a Jaccard similarity of at least least are linked; those linked directly or over others share the root."""
+    sets with a Jaccard similarity of at least least are linked; those linked directly or over others share the root. Both kinds of links go to one
+    search for components, links between fingerprints as links between one set of each: every round of it costs the driver plans and tasks to keep."""
     owners = saved(marked.select("_fp", "_sim").distinct(), "owners")
-    prints = groups(owners.select(F.col("_sim").alias("_fp")), radius).withColumnsRenamed({"_fp": "_sim", "root": "sim_root"})
-    owned = owners.join(prints, "_sim").select("_fp", "sim_root").distinct()
-    first = owned.groupBy("sim_root").agg(F.min("_fp").alias("b"))
-    by_print = owned.join(first, "sim_root").select(F.col("_fp").alias("a"), "b").where("a <> b")
-    by_shingles = saved(shingles.groups(marked, size, least), "alike-shingles")
-    known = components(by_print.union(by_shingles.where("_fp <> root").select("_fp", "root")), "alike-all").withColumnsRenamed({"node": "_fp", "root": "top"})
-    return by_shingles.select("_fp").join(known, "_fp", "left").select("_fp", F.coalesce("top", "_fp").alias("root"))
+    first = owners.groupBy("_sim").agg(F.min("_fp").alias("first"))
+    by_print = owners.join(first, "_sim").select(F.col("_fp").alias("a"), F.col("first").alias("b"))
+    ends = [first.select(F.col("_sim").alias(x), F.col("first").alias(f"_{x}")) for x in "ab"]
+    between = links(owners.select(F.col("_sim").alias("_fp")), radius).join(ends[0], "a").join(ends[1], "b").select("_a", "_b")
+    known = components(by_print.union(between).union(shingles.links(marked, size, least)), "alike-all").withColumnsRenamed({"node": "_fp", "root": "top"})
+    return owners.select("_fp").distinct().join(known, "_fp", "left").select("_fp", F.coalesce("top", "_fp").alias("root"))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, least: float = 0.8, print_size: int = 4, radius: int = 4) -> DataFrame:

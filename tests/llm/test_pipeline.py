@@ -150,3 +150,18 @@ def test_near_duplicate_stage_follows_fingerprints_and_shingles(spark):
     rows = [(1, a), (2, b), (3, c), *[(10 + i, t) for i, t in enumerate(other)]]
     left = {x["doc_id"] for x in one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert left == {1, *range(10, 30)}
+
+
+def test_near_duplicate_stage_searches_components_twice(spark, monkeypatch):
+    """Once for the candidates of the exact check, once for all links: each search is a series of jobs whose plans the driver keeps."""
+    from ebbtide.llm import components, shingles, simhash
+    calls = []
+
+    def counted(edges, name="components"):
+        calls.append(name)
+        return components.components(edges, name)
+    monkeypatch.setattr(simhash, "components", counted)
+    monkeypatch.setattr(shingles, "components", counted)
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "A b c d e f g"), (4, "x y z"), (5, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in one_of_each(docs).collect()} == {1, 4, 5} and len(calls) == 2
