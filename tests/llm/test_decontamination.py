@@ -1,6 +1,8 @@
 import random
 
+import numpy as np
 import pyarrow as pa
+import pytest
 
 from ebbtide.llm import decontamination as dc
 
@@ -148,3 +150,38 @@ def test_recall_of_a_space_fitted_on_a_sample(spark, monkeypatch):
                 brute.add((d, k))
     got = {(d, k) for d, k, *_ in s.find(texts)}
     assert len(brute) > 80 and len(brute & got) >= 0.9 * len(brute)
+
+
+def plain_space(texts, items, rank):
+    """The right singular vectors of all passages of the different texts and of the items, by a full decomposition."""
+    rows = []
+    for text in sorted(set(texts)):
+        w, _ = dc.numbers(pa.array([text]), items.names)
+        rows += [(p[p < len(items.names)], 1.0) for p in (w[a:a + dc.PART] for a in range(0, len(w), dc.PART))]
+    rows += [(w, dc.ITEM_WEIGHT * max(1, len(set(texts)) / dc.ITEM_TEXTS) ** 0.5) for w in items.words]
+    a = np.zeros((len(rows), len(items.names)))
+    for row, (w, weight) in zip(a, rows, strict=True):
+        if len(w):
+            np.add.at(row, w, items.idf[w])
+            row *= weight / np.linalg.norm(row)
+    return np.linalg.svd(a, full_matrices=False)[2][:rank].T
+
+
+def test_space_is_that_of_all_texts(spark, monkeypatch):
+    """More different texts than the former sample of 4,000, and copies, which count once in the space and each in the document frequencies."""
+    r = random.Random(8)
+    items = [(i, " ".join(prose(12, r))) for i in range(6)]
+    texts = [" ".join(prose(r.randrange(1, 60), r)) for _ in range(4500)] + ["bana bana " * 30 + items[0][1]] * 20 + [None, ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got, passages = dc.load(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert passages.count() == len({t or "" for t in texts}) and got.n_docs == len(texts)
+    words = [set(dc.words_of(pa.array([t or ""]))[0].to_pylist()) for t in texts]
+    for name, idf in zip(got.names.to_pylist(), got.idf, strict=True):
+        assert idf == pytest.approx(np.log((len(texts) + 2) / (sum(name in w for w in words) + 1)) ** 2)
+    want = plain_space([t or "" for t in texts], got, 8)
+    monkeypatch.setattr(dc, "OVERSAMPLE", 1000)   # as wide as there are words: the decomposition is exact
+    for most in (dc.GRAM_WORDS, 30):   # all words at once, and passages by parts
+        monkeypatch.setattr(dc, "GRAM_WORDS", most)
+        space = dc.latent(passages, got, rank=8)
+        assert space.shape == want.shape == (len(got.names), 8) and len(got.names) > 30
+        assert np.abs(want.T @ space @ space.T @ want - np.eye(8)).max() < 1e-6
