@@ -16,13 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ebbtide.llm import textstats as ts
-from ebbtide.llm.common import documents, drawn, ship, slices, text_of
+from ebbtide.llm.common import documents, saved, ship, slices, text_of
 
 BATCH_BYTES = 1 << 20
 BAD, NONE, GOOD = 0, 1, 2
 TRAIN_ROWS = 4_000           # different texts that the scorer is fitted on, about; never more than twice as many
 LEAST_TEXTS = 5              # a feature needs so many of them
-LABEL_ROWS = 20_000          # labelled documents that markers are looked for in, about; never more than twice as many
 STEMS = (4, 5, 7)            # letters of a stem
 PURE = 0.9                   # share of toxic texts among those with a marker
 
@@ -91,11 +90,30 @@ def toxic_votes(words: pa.Array, offsets: np.ndarray, markers: Markers) -> np.nd
     return np.column_stack([*[np.where(f > 0, BAD, GOOD) for f in found], np.where(found[2] > 1, BAD, np.where(found[2] == 1, NONE, GOOD))])
 
 
-def find_markers(docs: DataFrame, labels: DataFrame, rows: int = LABEL_ROWS) -> Markers:
-    """Words and stems that occur in toxic labelled texts (almost) only, more often than chance gives among all. About ``rows`` labelled
-    documents are read, drawn by a hash of their doc_id (``common.drawn``); equal texts count once. Rows with null doc_id or label don't take part."""
-    sample = drawn(labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL"), F.col("doc_id"), rows).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
-    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id").groupBy("text").agg(F.max("_toxic").alias("toxic"))
+def _perhaps_labelled(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """The documents whose doc_id can be among the known ones, by a table of 16 bits for each of those (one of 16 others passes): so that the join
+    doesn't move the texts of all others."""
+    if docs.schema["doc_id"].dataType != known.schema["doc_id"].dataType:
+        return docs
+    size = 16 * max(known.count(), 64)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(size))
+    places, table = known.select(place.alias("at")).toArrow()["at"].to_numpy(), np.zeros(size // 8, np.uint8)
+    np.bitwise_or.at(table, places >> 3, (128 >> (places & 7)).astype(np.uint8))
+    sent = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("_at").to_numpy()
+            yield batch.select(["doc_id", "text"]).filter(pa.array((sent.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+
+    return docs.withColumn("_at", place).mapInArrow(run, docs.schema)
+
+
+def find_markers(docs: DataFrame, labels: DataFrame) -> Markers:
+    """Words and stems that occur in toxic labelled texts (almost) only, more often than chance gives among all. All labelled documents are
+    read; equal texts count once, as toxic if one of them is. Rows with null doc_id or label don't take part."""
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
+    texts = _perhaps_labelled(docs.select("doc_id", text_of().alias("text")), known).join(known, "doc_id").groupBy("text").agg(F.max("_toxic").alias("toxic"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,6 +122,7 @@ def find_markers(docs: DataFrame, labels: DataFrame, rows: int = LABEL_ROWS) ->
                 number, names = ts.coded(words)
                 toxic = np.asarray(part.column("toxic")) > 0
                 doc = np.repeat(np.arange(part.num_rows), np.diff(offsets))
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([" "]), pa.array([part.num_rows]), pa.array([int(toxic.sum())])], ["n", "stem", "texts", "bad"])
                 for n, xs in forms(names).items():
                     code, stems = ts.coded(xs)
                     pairs = np.unique(doc * max(len(stems), 1) + code[number])
@@ -111,13 +130,14 @@ def find_markers(docs: DataFrame, labels: DataFrame, rows: int = LABEL_ROWS) ->
                     texts, bad = (np.bincount((pairs % max(len(stems), 1))[m], minlength=len(stems)) for m in (slice(None), hit))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(stems), n, np.int32)), stems, pa.array(texts), pa.array(bad)], ["n", "stem", "texts", "bad"])
 
-    counted = texts.mapInArrow(run, "n int, stem string, texts long, bad long").where("stem <> ''").groupBy("n", "stem").agg(F.sum("texts").alias("texts"), F.sum("bad").alias("bad"))
-    share = texts.agg(F.avg((F.col("toxic") > 0).cast("int"))).first()[0] or 0.0
-    if not 0 < share < 1:
+    counted = saved(texts.mapInArrow(run, "n int, stem string, texts long, bad long").where("stem <> ''").groupBy("n", "stem").agg(F.sum("texts").alias("texts"), F.sum("bad").alias("bad")), "stems")
+    every = counted.where("n < 0").first()   # all texts
+    if every is None or not 0 < every["bad"] < every["texts"]:
         return {}
-    tested = counted.count()
+    share = every["bad"] / every["texts"]
+    tested = counted.where("n >= 0").count()
     least = np.log(0.01 / max(tested, 1)) / np.log(share)
-    found = counted.where((F.col("bad") >= float(least)) & (F.col("bad") >= PURE * F.col("texts"))).collect()
+    found = counted.where((F.col("n") >= 0) & (F.col("bad") >= float(least)) & (F.col("bad") >= PURE * F.col("texts"))).collect()
     return {n: frozenset(r["stem"] for r in found if r["n"] == n) for n in (0, *STEMS)}
 
 

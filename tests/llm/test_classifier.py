@@ -60,3 +60,11 @@ def test_scorer_ignores_order_and_repeats():
     m = c.Model(c.word_features(pa.array(["scum"]))[0, :1], np.array([[0.0], [4.0]]), np.array([-2.0, -3.0]), None, None)
     low, toxic = m.probabilities(pa.array(["a scum b", "b SCUM. a scum", "", "a b"]))
     assert toxic[0] == toxic[1] > 0.5 > toxic[2] and toxic[2] == toxic[3] and np.allclose(low, 1 / (1 + np.exp(2.0)))
+
+
+def test_markers_come_from_all_labelled_documents(spark):
+    """More labelled documents than the former sample of 20,000: a word of five toxic ones is told from chance, while two of them wouldn't do."""
+    docs = spark.range(60_000).selectExpr("id doc_id", "concat('tane mure ', id, if(id % 12000 = 1, ' zzqwertu', '')) text")
+    labels = spark.range(60_000).selectExpr("id doc_id", "1 quality", "cast(id % 12000 = 1 or id % 11 = 0 as int) toxic")
+    assert "zzqwertu" in c.find_markers(docs, labels)[0]
+    assert "zzqwertu" not in c.find_markers(docs, labels.where("doc_id < 24000")).get(0, ())
